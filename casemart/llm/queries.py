@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .quality import OP2_SQL, op2_quality_rules
 from .sharding import op1_sharding
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_quality_rules": op2_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_quality_rules": OP2_SQL,
+}
