@@ -74,7 +74,7 @@ RULES = (
     Rule("repeats", lambda t: let(words(t), lambda w: 100 * n_repeat_words(w) > 50 * F.size(w))),
     Rule("symbols", lambda t: 10 * n_symbols(t) > F.size(words(t))),
     Rule("word_length", lambda t: let(words(t), lambda w: (word_chars(w) < 3 * F.size(w)) | (word_chars(w) > 15 * F.size(w)))),
-    Rule("repeated_lines", lambda t: let(lines(t), lambda x: 10 * (F.size(x) - F.size(F.array_distinct(x))) > 3 * F.size(x))),
+    Rule("repeated_lines", lambda t: let(lines(t), lambda x: 10 * (F.size(x) - F.size(F.array_distinct(x))) > 5 * F.size(x))),
     Rule("shouting", lambda t: 10 * F.regexp_count(t, F.lit(r"[!?]{2,}")) > F.size(words(t))),
 )
 
@@ -184,6 +184,6 @@ c AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (10 * n_symbols > n_words OR word_chars < 3 * n_words OR word_chars > 15 * n_words
-                                OR 10 * n_dup_lines > 3 * n_lines OR 10 * shouts > n_words) AS kept
+                                OR 10 * n_dup_lines > 5 * n_lines OR 10 * shouts > n_words) AS kept
 FROM b
 """
