@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .quality import OP2_SQL, op2_quality_rules
 from .sharding import op1_sharding
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
+    "op8_exact_dedup": op8_exact_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
+    "op8_exact_dedup": OP8_SQL,
 }
