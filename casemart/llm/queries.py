@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op10_byte_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .quality import OP2_SQL, op2_quality_rules
 from .sharding import op1_sharding
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
