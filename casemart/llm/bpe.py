@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 The split pattern cuts a text into pieces, and merges never cross a piece. So
-the library encodes every distinct piece once in a task (all new pieces of a
-batch together), and a text is the chain of its pieces. Tokens spell their
+the library's BPE model merges every distinct piece once in a worker, and a
+text is the chain of its pieces. Tokens spell their
 bytes in a byte-to-character table; decoding reverses the table and joins the
 bytes of all tokens before it reads them as UTF-8, because a character may be
 split over tokens.
@@ -36,45 +36,53 @@ def byte_characters() -> dict[int, str]:
     return table_ | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
+class Pieces(dict):
+    """The token ids of every piece met so far; the library's model merges a new one."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.characters = model, str.maketrans({chr(b): c for b, c in byte_characters().items()})
+
+    def spelt(self, piece: str) -> str:
+        """The piece with a character for each of its UTF-8 bytes."""
+        return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.characters)
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = tuple([t.id for t in self.model.tokenize(self.spelt(piece))])
+        if len(piece) <= LONGEST_REMEMBERED:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class ByteBPE:
     """Encoder and decoder of one tokenizer file of the tokenizers library with byte-level pieces."""
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokenizer = Tokenizer.from_file(path)
         self.pattern = regex.compile(pattern)
+        self.pieces = Pieces(tokenizer.model)
         byte_of = {c: b for b, c in byte_characters().items()}
-        self.bytes_of = {i: bytes(byte_of[c] for c in t) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in t)}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, new: list[str]) -> dict[str, tuple[int, ...]]:
-        return {p: tuple(e.ids) for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-
-    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
-        find = self.pattern.findall
-        for text in texts:
-            pieces = find(text)
-            known = self.known
-            new = {p for p in pieces if p not in known}
-            if new:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                    new = set(pieces)
-                learnt = self._learn(list(new))
-                known.update((p, ids) for p, ids in learnt.items() if len(p) <= LONGEST_REMEMBERED)
-                if any(len(p) > LONGEST_REMEMBERED for p in learnt):
-                    yield [i for p in pieces for i in (known[p] if p in known else learnt[p])]
-                    continue
-            yield [i for p in pieces for i in known[p]]
+        self.bytes_of = {i: bytes(byte_of[c] for c in t) for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in t)}
+
+    def encode(self, text: str) -> list[int]:
+        pieces = self.pieces
+        return [i for p in self.pattern.findall(text) for i in pieces[p]]
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """The characters that each token touches; tokens of one split character have the same offsets."""
         found = []
         for m in self.pattern.finditer(text):
-            for start, end in self.tokenizer.encode(m[0], add_special_tokens=False).offsets:
-                found.append((m.start() + start, m.start() + end))
+            # the character that each byte belongs to
+            char = [n for n, c in enumerate(m[0], m.start()) for _ in c.encode("utf-8", "surrogatepass")]
+            at = 0
+            for i in self.pieces[m[0]]:
+                end = at + len(self.bytes_of[i])
+                found.append((char[at], char[end - 1] + 1))
+                at = end
         return found
 
     def decode_bytes(self, ids: list[int]) -> bytes:
@@ -103,7 +111,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         coder = loaded(path, pattern)
         for b in batches:
             texts = b.column(1).to_pylist()
-            columns = [b.column(0), _lists(coder.encode_batch(texts))]
+            columns = [b.column(0), _lists(map(coder.encode, texts))]
             if offsets:
                 spans = [coder.offsets(t) for t in texts]
                 columns += [_lists([s[k] for s in x] for x in spans) for k in (0, 1)]
@@ -137,7 +145,7 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         sha = hashlib.sha256
         for b in batches:
             counts, of_ids, of_bytes = [], [], []
-            for ids in coder.encode_batch(b.column(1).to_pylist()):
+            for ids in map(coder.encode, b.column(1).to_pylist()):
                 counts.append(len(ids))
                 of_ids.append(sha(" ".join(map(str, ids)).encode()).hexdigest())
                 of_bytes.append(sha(coder.decode_bytes(ids)).hexdigest())
