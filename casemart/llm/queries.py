@@ -6,10 +6,12 @@ from .bpe import op10_byte_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .quality import OP2_SQL, op2_quality_rules
 from .sharding import op1_sharding
+from .token_files import op5_token_files
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
+    "op5_token_files": op5_token_files,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
