@@ -6,7 +6,8 @@ compressed with either dictionary; short chunks cannot learn much from
 themselves, so the dictionary decides how small they become. The difference of
 the two compressed sizes, divided by the text's bytes, is the raw score, and a
 logistic curve fitted on labelled texts that built no dictionary turns it into
-the probability of label 1.
+the probability of label 1. A text of a few bytes says little about itself:
+its log-odds lean to those of the labels at large, the more the shorter it is.
 """
 
 from __future__ import annotations
@@ -27,18 +28,31 @@ FIT_ROWS = 1_200
 DICTIONARY_BYTES = 112_640
 CHUNK_BYTES = 256
 LEVEL = 3
+#: A text of this many bytes has its log-odds half from itself, half from the labels' shares.
+PRIOR_BYTES = 32
 #: The documents to hold out: those with this remainder of crc32(id as text) modulo FOLDS.
 FOLDS, HELD_OUT = 3, 1
 
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries (empty: none) and the logistic curve 1 / (1 + exp(-(slope * difference + shift)))."""
+    """Dictionaries (empty: none), the logistic curve's slope and shift, and the log-odds of the labels' shares."""
 
     good: bytes = b""
     bad: bytes = b""
     slope: float = 0.0
     shift: float = 0.0
+    prior: float = 0.0
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        own = trust(texts)
+        odds = own * (self.slope * differences(texts, self.good, self.bad) + self.shift) + (1 - own) * self.prior
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+
+
+def trust(texts: list[bytes]) -> np.ndarray:
+    n = np.array([len(t) for t in texts], dtype=float)
+    return n / (n + PRIOR_BYTES)
 
 
 def chunks(text: bytes) -> list[bytes]:
@@ -68,13 +82,13 @@ def differences(texts: list[bytes], good: bytes, bad: bytes) -> np.ndarray:
     return np.array([sum(len(by_bad(c)) - len(by_good(c)) for c in chunks(t)) / max(len(t), 1) for t in texts])
 
 
-def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the weighted logistic fit, by Newton's method with a small ridge."""
+def curve(x: np.ndarray, own: np.ndarray, prior: float, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the weighted logistic fit of own * (slope * x + shift) + (1 - own) * prior, by Newton's method with a small ridge."""
     spread = float(np.std(x)) or 1.0
-    z = np.stack([x / spread, np.ones_like(x)], axis=1)
+    z = np.stack([own * x / spread, own], axis=1)
     w = np.zeros(2)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(z @ w + (1 - own) * prior, -30, 30)))
         gradient = z.T @ (weight * (y - p)) - 1e-3 * w
         hessian = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
@@ -98,7 +112,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     usable = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~in_fold(F.col("id")))
     shares = {r.y: r.n for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(shares) < 2:
-        return Model(shift={(): 0.0, (1,): 10.0, (0,): -10.0}[tuple(shares)])
+        sure = {(): 0.0, (1,): 10.0, (0,): -10.0}[tuple(shares)]
+        return Model(shift=sure, prior=sure)
+    prior = float(np.log(shares[1] / shares[0]))
     order = F.xxhash64(F.lit("fit"), "id")
     chosen = usable.filter("y = 1").orderBy(order, "id").limit(fit_rows).unionByName(usable.filter("y = 0").orderBy(order, "id").limit(fit_rows)).groupBy("id").agg(F.min("y").alias("y"))
     texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -107,25 +123,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     build, rest = rows[::2], rows[1::2]
     good, bad = (dictionary([t for _, y, t in build if y == want]) for want in (1, 0))
     if not good or not bad:
-        return Model(shift=float(np.log(shares[1] / shares[0])))
-    x, y = differences([t for _, _, t in rest], good, bad), np.array([y for _, y, _ in rest])
+        return Model(shift=prior, prior=prior)
+    held = [t for _, _, t in rest]
+    x, y = differences(held, good, bad), np.array([y for _, y, _ in rest])
     counts = {c: max(1, int((y == c).sum())) for c in (0, 1)}
     weight = np.array([shares[c] / counts[c] for c in y]) * len(y) / sum(shares.values())
-    return Model(good, bad, *curve(x, y, weight))
+    return Model(good, bad, *curve(x, trust(held), prior, y, weight), prior)
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, score, predicted.
 
-    Null and empty texts have no difference and get the curve's own level at 0.
+    Null and empty texts score the labels' share of 1.
     Repeated rows score alike, an empty table gives an empty result, further
     columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = differences([t.encode() for t in b.column(1).to_pylist()], model.good, model.bad)
-            score = 1 / (1 + np.exp(-np.clip(model.slope * x + model.shift, -500, 500)))
+            score = model.scores([t.encode() for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype("int32"))], names=["doc_id", "score", "predicted"])
 
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
