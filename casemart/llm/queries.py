@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op10_byte_bpe
 from .classifier import op7_quality_classifier
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .mixing import op3_mixing
 from .quality import OP2_SQL, op2_quality_rules
 from .sharding import op1_sharding
 from .token_files import op5_token_files
@@ -12,6 +13,7 @@ from .token_files import op5_token_files
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
+    "op3_mixing": op3_mixing,
     "op5_token_files": op5_token_files,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
