@@ -6,6 +6,7 @@ from .bpe import op10_byte_bpe
 from .classifier import op7_quality_classifier
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .mixing import op3_mixing
+from .near_dedup import op9_near_dedup
 from .quality import OP2_SQL, op2_quality_rules
 from .sharding import op1_sharding
 from .token_files import op5_token_files
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_near_dedup": op9_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
