@@ -8,15 +8,19 @@ row groups whose metadata excludes it.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_characters
 from .common import parallelism, scratch, stored, table
 
 END_ID = 1
@@ -34,19 +38,46 @@ ORC = {
 REMEMBERED, LONGEST_REMEMBERED = 400_000, 64
 
 
+#: Chunks of printable Latin-1 only: composed already, lowered letter by letter, and without white space.
+PLAIN = regex.compile(r"[!-~¡-¬®-ÿ]+")
+#: The tokenizer's own split pattern.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+class Pieces(dict):
+    """The ids, as little-endian 32-bit bytes, of every lowered piece met so far, merged by the library's model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.characters = model, str.maketrans({chr(b): c for b, c in byte_characters().items()})
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = packed([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.characters))])
+        if len(piece) <= LONGEST_REMEMBERED:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Chunks(dict):
-    """The ids, as little-endian 32-bit bytes, of every chunk between blanks met so far.
+    """The ids of every chunk between blanks met so far.
 
     The tokenizer drops white space and merges nothing across it, so the ids
-    of a text are those of its chunks, one after the other.
+    of a text are those of its chunks, one after the other. A plain chunk is
+    lowered and split here and merged piece by piece; any other goes through
+    the whole tokenizer.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.pieces = tokenizer, Pieces(tokenizer.model)
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if PLAIN.fullmatch(chunk):
+            ids = b"".join([self.pieces[p] for p in PIECE.findall(chunk.lower())])
+        else:
+            ids = packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         if len(chunk) <= LONGEST_REMEMBERED:
             if len(self) > REMEMBERED:
                 self.clear()
@@ -54,6 +85,13 @@ class Chunks(dict):
         return ids
 
 
+def packed(ids: list[int]) -> bytes:
+    whole = array("I", ids)
+    if sys.byteorder == "big":
+        whole.byteswap()
+    return whole.tobytes()
+
+
 @cache
 def loaded(path: str) -> Chunks:
     from tokenizers import Tokenizer
