@@ -9,12 +9,14 @@ from .mixing import op3_mixing
 from .near_dedup import op9_near_dedup
 from .quality import OP2_SQL, op2_quality_rules
 from .sharding import op1_sharding
+from .substring_dedup import op4_substring_dedup
 from .token_files import op5_token_files
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_token_files": op5_token_files,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
