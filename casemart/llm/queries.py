@@ -11,6 +11,7 @@ from .quality import OP2_SQL, op2_quality_rules
 from .sharding import op1_sharding
 from .substring_dedup import op4_substring_dedup
 from .token_files import op5_token_files
+from .warc_audit import OP6_SQL, op6_warc_audit
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_files": op5_token_files,
+    "op6_warc_audit": op6_warc_audit,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
@@ -26,5 +28,6 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
+    "op6_warc_audit": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
