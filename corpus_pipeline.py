@@ -1,12 +1,45 @@
-"""The corpus pipeline: each stage works on all documents that the stage before it kept."""
+"""The corpus pipeline: each stage works on all documents that the stage before it kept.
+
+Quality rules reject documents; exact and near duplicates leave one document
+of each group; mixing repeats documents of small sources until the weights are
+met and drops none; the last stage encodes every document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from casemart.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from casemart.llm.common import stored
 
-STAGES: list = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.keep_first(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_rows(docs, cover=True)
+
+
+def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(docs, *bpe.public_coder())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("mixing", mixing_stage),
+    ("byte_bpe", byte_bpe_stage),
+]
 
 #: Near duplicates are found by signatures and verified on the texts, which SQL doesn't express.
 ORACLE_SQL = None
@@ -14,7 +47,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (name, stage) in enumerate(STAGES):
+    for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = stored(docs, f"stage-{n}")
