@@ -205,7 +205,8 @@ def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose bags reach THRESHOLD."""
     one = bags.select(F.col("doc_id").alias("a"), F.col("keys").alias("ka"), F.col("counts").alias("ca"))
     two = bags.select(F.col("doc_id").alias("b"), F.col("keys").alias("kb"), F.col("counts").alias("cb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ka", "ca", "kb", "cb").mapInArrow(_similar, "a long, b long")
+    # merge joins at any size: neither side is bounded
+    return pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").select("a", "b", "ka", "ca", "kb", "cb").mapInArrow(_similar, "a long, b long")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -302,7 +303,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     pairs = chained.select(F.explode(F.array_distinct(F.array("before", "first"))).alias("a"), F.col("rep").alias("b"))
     tested = stored(pairs.filter("a < b").distinct(), "near-pairs")
     nodes = shared.select(F.col("rep").alias("node")).distinct()
-    wanted = texts.join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
+    wanted = texts.join(nodes.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi")
     bags = stored(wanted.mapInArrow(_bags_of, "doc_id long, keys binary, counts binary"), "near-bags")
     bags = bags if one_row_each else bags.dropDuplicates(["doc_id"])
     links = stored(verified(tested, bags), "near-links")
@@ -333,7 +334,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, one of each class, all columns unchanged. Rows with a null id and rows that repeat a kept id stay."""
     gone = near_classes(docs, key, text).filter("not kept").select(F.col("doc_id").alias("near_gone")).distinct()
-    return docs.join(gone, docs[key].cast("long") == gone["near_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs[key].cast("long") == gone["near_gone"], "left_anti")
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
