@@ -219,7 +219,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     id_name, hash_name = _free_name(docs, "keep_key"), _free_name(docs, "keep_hash")
     ids = keep.select(F.col("doc_id").alias(id_name), F.col("text_sha256").alias(hash_name))
     same = docs[key].cast("long").eqNullSafe(ids[id_name]) & (F.sha2(normalised(docs[text]), 256) == ids[hash_name])
-    rows = docs.join(ids, same, "left_semi")
+    rows = docs.join(ids.hint("merge"), same, "left_semi")
     if keep.filter("rows > 1").isEmpty():
         return rows
     columns = rows.columns

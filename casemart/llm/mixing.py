@@ -171,7 +171,7 @@ def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
         free += "_"
     times = times.toDF(*[free + c for c in times.columns])
     same = docs[key].eqNullSafe(times[free + "doc_id"]) & (named(docs[source]) == times[free + "s"]) & (tokens(docs[text]) == times[free + "n_tokens"])
-    again = docs.join(times, same).withColumn(free, F.explode(F.sequence(F.lit(1), F.col(free + "n"))))
+    again = docs.join(times.hint("merge"), same).withColumn(free, F.explode(F.sequence(F.lit(1), F.col(free + "n"))))
     return again.select(*docs.columns)
 
 
