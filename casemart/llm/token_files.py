@@ -40,6 +40,7 @@ REMEMBERED, LONGEST_REMEMBERED = 400_000, 64
 
 #: Chunks of printable Latin-1 only: composed already, lowered letter by letter, and without white space.
 PLAIN = regex.compile(r"[!-~¡-¬®-ÿ]+")
+STOPS = frozenset(".,;:!?")
 #: The tokenizer's own split pattern.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -74,7 +75,11 @@ class Chunks(dict):
         self.tokenizer, self.pieces = tokenizer, Pieces(tokenizer.model)
 
     def __missing__(self, chunk: str) -> bytes:
-        if PLAIN.fullmatch(chunk):
+        word = chunk if chunk.isalpha() else chunk[:-1]
+        if word.isascii() and word.isalpha() and (word is chunk or chunk[-1] in STOPS):
+            # most new chunks: a word, perhaps with a stop, needs no pattern
+            ids = self.pieces[word.lower()] if word is chunk else self.pieces[word.lower()] + self.pieces[chunk[-1]]
+        elif PLAIN.fullmatch(chunk):
             ids = b"".join([self.pieces[p] for p in PIECE.findall(chunk.lower())])
         else:
             ids = packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
