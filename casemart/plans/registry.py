@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import queries_kpi, queries_quality, queries_rank, queries_text
+
+MODULES = (queries_kpi, queries_text, queries_rank, queries_quality)
+QUERIES = {name: q for m in MODULES for name, q in m.BOOK.queries.items()}
+ORACLE = {name: sql for m in MODULES for name, sql in m.BOOK.sql.items()}
