@@ -72,12 +72,18 @@ def write_replica(pages: DataFrame, path: str, body: Column | None = None, keep:
 
 def read_replica(spark: SparkSession, path: str) -> DataFrame:
     """segment, ordinal, page_id, length (bytes with the closing line ends), digest, intact (its length is the one it names), and body."""
-    raw = spark.read.schema("value string, segment long").option("lineSep", END + MARK).text(path)
-    record = F.concat(F.lit(MARK), F.regexp_replace(F.regexp_replace("value", r"\AWARC/1\.1\r\n", ""), r"\r\n\r\n\z", ""))
-    parts = raw.select("segment", record.alias("record")).withColumn("cut", F.locate(END, "record"))
+    raw = spark.read.option("lineSep", END + MARK).text(path)
+    if "segment" not in raw.columns:  # a replica without any record has no segment
+        raw = raw.withColumn("segment", F.lit(None)).limit(0)
+    raw = raw.withColumn("segment", F.col("segment").cast("long"))
+    whole = F.concat(F.lit(MARK), F.regexp_replace("value", r"\AWARC/1\.1\r\n", ""))
+    parts = raw.select("segment", whole.alias("record")).withColumn("cut", F.locate(END, "record"))
     head = F.substring("record", 1, F.col("cut"))
     block = F.expr(f"substring(record, cut + {len(END)})")
     named = F.try_to_number(F.nullif(F.regexp_extract(head, r"Content-Length: (\d+)", 1), F.lit("")), F.lit("999999999999")).cast("long")
+    # the last record of a file still has its closing line ends: its own length tells
+    closed = F.coalesce((F.octet_length(block) == named + len(END)) & F.col("record").endswith(END), F.lit(False))
+    parts = parts.withColumn("record", F.when(closed, F.expr(f"substring(record, 1, length(record) - {len(END)})")).otherwise(F.col("record")))
     return parts.select(
         "segment",
         F.try_to_number(F.nullif(F.regexp_extract(head, r"WARC-Record-Ordinal: (\d+)", 1), F.lit("")), F.lit("999999999999")).cast("long").alias("ordinal"),
