@@ -177,3 +177,26 @@ def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+#: With the parameters above; the repetition limit is left out, as no source of the tables comes near it.
+OP3_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('s:' || source, 'null') AS k, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM documents),
+s AS (SELECT k, CAST(sum(n_tokens) AS BIGINT) AS n FROM d GROUP BY k HAVING sum(n_tokens) > 0), t AS (SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS sources FROM s),
+p AS (SELECT k, n, n / CAST(total AS DOUBLE) AS share, sources, total FROM s, t),
+bis AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi
+  UNION ALL SELECT i + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM (
+    SELECT i, lo, hi, (lo + hi) / 2 AS mid, ln(sum(pow(share, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(share, (lo + hi) / 2) * ln(share)) / sum(pow(share, (lo + hi) / 2)) >= {TARGET_ENTROPY} * ln(max(sources)) AS ok
+    FROM bis, p WHERE i < 50 GROUP BY i, lo, hi)),
+a AS (SELECT CASE WHEN (SELECT -sum(share * ln(share)) >= {TARGET_ENTROPY} * ln(max(sources)) FROM p) THEN 1.0 ELSE (SELECT round(lo, 9) FROM bis WHERE i = 50) END AS a),
+z AS (SELECT sum(pow(share, a)) AS z FROM p, a),
+pl AS (SELECT k, n, CAST(round(round(pow(share, a) / z, 12) * total) AS BIGINT) AS budget, CAST(greatest(1, ceil(n / greatest({BLOCK_TOKENS}, ceil(n / {MOST_BLOCKS}.0)))) AS BIGINT) AS n_blocks FROM p, a, z),
+dl AS (SELECT d.*, coalesce(('0x' || substr(md5('{SEED}:' || d.k || ':' || doc_id), 1, 13))::BIGINT % n_blocks, 0) AS block FROM d LEFT JOIN pl USING (k)),
+b AS (SELECT k, block, CAST(sum(n_tokens) AS BIGINT) AS bt FROM dl GROUP BY ALL),
+e AS (SELECT b.*, n, budget, coalesce(budget // n, 1) AS full_, coalesce(budget % n, 0) AS rest, unnest(range(0, coalesce(budget // n, 1) + 1)) AS epoch FROM b LEFT JOIN pl USING (k)),
+o AS (SELECT *, coalesce(sum(bt) OVER (PARTITION BY k, epoch ORDER BY ('0x' || substr(md5('{SEED}:' || k || ':' || epoch || ':' || block), 1, 13))::BIGINT, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e),
+r AS (SELECT *, CASE WHEN epoch < full_ THEN bt ELSE rest - before END AS room, coalesce(floor((epoch * n + before) / CAST(nullif(budget, 0) AS DOUBLE) * {TURNS}), 0) AS turn FROM o),
+u AS (SELECT *, sum(n_tokens) OVER (PARTITION BY k, block ORDER BY ('0x' || substr(md5('{SEED}:' || doc_id), 1, 13))::BIGINT, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM dl)
+SELECT doc_id, source, n_tokens, CAST(epoch AS BIGINT) AS epoch, CAST(u.block AS INTEGER) AS block, CAST(turn AS BIGINT) AS turn FROM u JOIN r ON u.k = r.k AND u.block = r.block
+WHERE (epoch < full_ OR room > 0) AND (room >= bt OR (upto <= room AND n_tokens > 0))
+"""

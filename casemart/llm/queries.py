@@ -5,7 +5,7 @@ from __future__ import annotations
 from .bpe import op10_byte_bpe
 from .classifier import op7_quality_classifier
 from .exact_dedup import OP8_SQL, op8_exact_dedup
-from .mixing import op3_mixing
+from .mixing import OP3_SQL, op3_mixing
 from .near_dedup import op9_near_dedup
 from .quality import OP2_SQL, op2_quality_rules
 from .sharding import op1_sharding
@@ -28,6 +28,7 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
+    "op3_mixing": OP3_SQL,
     "op6_warc_audit": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
