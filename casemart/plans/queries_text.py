@@ -204,10 +204,8 @@ def nested_json_map(spark, sf_dir):
 @BOOK.add(r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title,
   coalesce(regexp_extract(url, '^https?://([^/:?#]+)', 1), '') AS host, CAST(len(regexp_extract_all(html, '(?i)<a\s[^>]*href=')) AS BIGINT) AS n_links FROM pages""")
 def page_extract(spark, sf_dir):
-    rows = files.page_records(table(spark, sf_dir, "pages").withColumn("html", F.col("html")), patterns={})
-    pages = table(spark, sf_dir, "pages")
     title = tx.collapse(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1))
-    return pages.join(rows, "page_id", "left_semi").select("page_id", title.alias("title"), F.coalesce(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1), F.lit("")).alias("host"), F.regexp_count("html", F.lit(r"(?i)<a\s[^>]*href=")).cast("long").alias("n_links"))
+    return table(spark, sf_dir, "pages").select("page_id", title.alias("title"), F.coalesce(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1), F.lit("")).alias("host"), F.regexp_count("html", F.lit(r"(?i)<a\s[^>]*href=")).cast("long").alias("n_links"))
 
 
 @BOOK.add(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"'']+)["'']', 1)) AS href FROM pages) SELECT href, count(*) AS n, count(DISTINCT page_id) AS pages FROM l GROUP BY href""")
