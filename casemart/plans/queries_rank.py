@@ -8,6 +8,7 @@ from ..functions import geo
 from ..functions import measures as m
 from ..operators import aggregate as agg
 from ..operators import rank
+from . import geography
 from .proxy import FACT, FLAGS, POPULATION, Book, fact, population, table
 
 BOOK = Book()
@@ -149,3 +150,34 @@ def first_year_by_module(spark, sf_dir):
     rows = fact(spark, sf_dir).select(F.when(F.col("is_mulher") == 1, "mulher").when(F.col("is_idoso") == 1, "idoso").alias("module"), "ano").filter("module is not null").distinct()
     found = agg.first_seen(rows, "module", "ano", ["mulher", "idoso", "racial"])
     return found.select("module", "first_year", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"))
+
+
+_FACILITY = "SELECT CAST(s_suppkey AS VARCHAR) AS sigla, CAST(s_suppkey * 53 % 80 - 40 AS DOUBLE) AS flat, CAST(s_suppkey * 29 % 100 - 50 AS DOUBLE) AS flng FROM supplier WHERE s_suppkey <= 30"
+
+
+@BOOK.add(_RANKED + f", f AS ({_FACILITY}), d AS (SELECT topic, rank, territory_name, value, sigla, {_KM} AS km, row_number() OVER (PARTITION BY topic, rank ORDER BY {_KM}, sigla) AS nth FROM r, f WHERE flat <> 0 AND flng <> 0) SELECT topic, rank, territory_name, value, sigla AS nearest, round(km, 4) AS km FROM d WHERE nth = 1")
+def peaks_with_facility(spark, sf_dir):
+    """Every topic's ten peaks with the nearest facility that has coordinates."""
+    units = table(spark, sf_dir, "supplier").filter("s_suppkey <= 30").select(F.col("s_suppkey").cast("string").alias("sigla"), (F.col("s_suppkey") * 53 % 80 - 40).cast("double").alias("lat"), (F.col("s_suppkey") * 29 % 100 - 50).cast("double").alias("lon"))
+    values = {f[3:]: F.when(F.col("population") > 0, F.round(F.col(f) / F.col("population") * 10_000, 4)) for f in FLAGS}
+    found = geography.peaks(territories(spark, sf_dir), values, units, "territory_name", "region")["peaks"]
+    return found.select("topic", F.col("rank").cast("long").alias("rank"), "territory_name", "value", "nearest", F.round("km", 4).alias("km"))
+
+
+@BOOK.add("""WITH o AS (SELECT o_custkey, list([CAST(o_orderkey % 90 AS DOUBLE), CAST(o_orderkey % 45 AS DOUBLE)] ORDER BY o_orderkey) AS coords FROM orders GROUP BY 1)
+SELECT count(*) AS axes, count_if(o_custkey % 3 = 0) AS federal, count_if(o_custkey % 3 <> 0) AS state, CAST(sum(len(coords)) AS BIGINT) AS points FROM o""")
+def road_axes(spark, sf_dir):
+    """A customer's orders as an axis of points."""
+    return geography.road_counts(_axes(spark, sf_dir))
+
+
+@BOOK.add("""SELECT o_custkey AS nome, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS nth, CAST(o_orderkey % 90 AS DOUBLE) AS lat, CAST(o_orderkey % 45 AS DOUBLE) AS lng FROM orders""")
+def road_points(spark, sf_dir):
+    return geography.road_points(_axes(spark, sf_dir))
+
+
+def _axes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    point = F.array((F.col("o_orderkey") % 90).cast("double"), (F.col("o_orderkey") % 45).cast("double"))
+    rows = o.groupBy(F.col("o_custkey").alias("nome")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", point.alias("p")))).alias("s"))
+    return rows.select("nome", F.when(F.col("nome") % 3 == 0, "federal").otherwise("estadual").alias("tipo"), F.transform("s", lambda x: x.p).alias("coords"))

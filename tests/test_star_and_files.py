@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casemart.operators import audit
-from casemart.plans import slices, star
+from casemart.plans import geography, slices, star
 from casemart.sources import files
 from casemart.streaming import ingest
 
@@ -128,3 +128,16 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     seen = []
     ingest.land_each(spark, src, "id long", lambda d, _: seen.append(d.count()), f"{tmp_path}/log2").awaitTermination()
     assert sum(seen) == 12
+
+
+def test_distance_matrix(spark):
+    def square(x, y):
+        return [[[[x, y], [x + 2, y], [x + 2, y + 2], [x, y + 2], [x, y]]]]
+
+    mesh = spark.createDataFrame([("1", "Polygon", square(-50.0, -28.0)), ("2", "Polygon", square(-10.0, -28.0)), ("9", "Polygon", square(0.0, 0.0))], geography.MESH)
+    dim = spark.createDataFrame([("1", "Alfa"), ("2", "Beta"), ("3", "Gama")], "ibge_code string, municipio_nome string")
+    units = spark.createDataFrame([("U1", "A", -27.0, -49.0), ("U2", "B", -27.0, -8.0), ("U0", "C", 0.0, 0.0)], "sigla string, municipio string, lat double, lon double")
+    got = {r.ibge_code: r for r in geography.distance_matrix(geography.municipal_points(mesh, dim), units).collect()}
+    assert set(got) == {"1", "2"}
+    assert (got["1"].nearest, got["1"].km, got["1"].band, got["1"].nearest_town) == ("U1", 0.0, "near", "A")
+    assert got["2"].nearest == "U2" and got["2"].band == "far"
