@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
@@ -85,9 +85,8 @@ def municipality_key(c: Column) -> Column:
     return F.when(~nothing, F.nullif(normal_key(F.btrim(bare)), F.lit("")))
 
 
-def age_range(c: Column) -> Column:
-    """struct(lo, hi) of an age bracket in any of the series' forms, else null."""
-    s = clean(c)
+def age_range_of(s: Column) -> Column:
+    """struct(lo, hi) of a cleaned age bracket in any of the series' forms, else null."""
 
     def number(pattern: str, group: int) -> Column:
         return F.regexp_extract(s, pattern, group).cast("int")
@@ -104,12 +103,18 @@ def age_range(c: Column) -> Column:
     )
 
 
-def is_child_age(c: Column) -> Column:
-    return F.coalesce(age_range(c)["hi"] <= config.CHILD_MAX_AGE, F.lit(False)) | has_any(clean(c), config.CHILD_TERMS)
+def is_child(s: Column, age: Column) -> Column:
+    """Of a cleaned bracket and its range: wholly under 18, or a label that says so."""
+    return F.coalesce(age["hi"] <= config.CHILD_MAX_AGE, F.lit(False)) | has_any(s, config.CHILD_TERMS)
 
 
-def is_elderly_age(c: Column) -> Column:
-    return F.coalesce(age_range(c)["lo"] >= config.ELDERLY_MIN_AGE, F.lit(False)) | has_any(clean(c), config.ELDERLY_TERMS)
+def is_elderly(s: Column, age: Column) -> Column:
+    return F.coalesce(age["lo"] >= config.ELDERLY_MIN_AGE, F.lit(False)) | has_any(s, config.ELDERLY_TERMS)
+
+
+def with_age(df: DataFrame, bracket: Column, text: str = "_bracket", age: str = "_age") -> DataFrame:
+    """Adds the cleaned bracket and its range as columns, so that neither is computed again for every use."""
+    return df.withColumn(text, clean(bracket)).withColumn(age, age_range_of(F.col(text)))
 
 
 def declared_modules(c: Column) -> Column:

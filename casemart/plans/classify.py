@@ -73,13 +73,13 @@ def groups(df: DataFrame) -> DataFrame:
         return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
     fields = ("grupo_vulneravel", "genero_vitima", "deficiencia_vitima", "orientacao_sexual_vitima", "vitima_presa", "violacao", "subgrupo_violacao", "motivacao", "relacao_vitima_suspeito")
-    c = df.withColumns({f"_{n}": tx.clean(raw(n)) for n in fields} | {"_faixa": raw("faixa_etaria_vitima")})
-    group, age = F.col("_grupo_vulneravel"), F.col("_faixa")
+    c = tx.with_age(df.withColumns({f"_{n}": tx.clean(raw(n)) for n in fields}), raw("faixa_etaria_vitima"))
+    group, bracket, age = F.col("_grupo_vulneravel"), F.col("_bracket"), F.col("_age")
     context = F.concat_ws(" ; ", tx.join_filled(F.col("_violacao"), F.col("_subgrupo_violacao")), tx.join_filled(F.col("_motivacao"), F.col("_relacao_vitima_suspeito")))
     flags = {
-        "is_crianca": tx.has_any(group, config.CHILD_TERMS) | tx.is_child_age(age),
+        "is_crianca": tx.has_any(group, config.CHILD_TERMS) | tx.is_child(bracket, age),
         "is_mulher": group.contains("MULHER") | (tx.has_any(F.col("_genero_vitima"), config.FEMALE_TERMS) & tx.has_any(context, config.GENDER_VIOLENCE_TERMS)),
-        "is_idoso": tx.has_any(group, config.ELDERLY_TERMS) | tx.is_elderly_age(age),
+        "is_idoso": tx.has_any(group, config.ELDERLY_TERMS) | tx.is_elderly(bracket, age),
         "is_pcd": tx.has_any(group, config.DISABILITY_TERMS) | (F.col("_deficiencia_vitima") != ""),
         "is_lgbtqia": group.contains("LGBT") | tx.has_any(F.col("_orientacao_sexual_vitima"), config.LGBT_TERMS),
         "is_prisional_rua": tx.has_any(group, config.PRISON_STREET_TERMS) | tx.has_any(F.col("_vitima_presa"), config.CUSTODY_TERMS),
@@ -87,7 +87,7 @@ def groups(df: DataFrame) -> DataFrame:
     c = c.withColumns({n: e.cast("long") for n, e in flags.items()})
     signals = {
         "grupo_vulneravel": group != "",
-        "faixa_etaria": tx.age_range(age).isNotNull() | tx.is_child_age(age) | tx.is_elderly_age(age),
+        "faixa_etaria": age.isNotNull() | tx.is_child(bracket, age) | tx.is_elderly(bracket, age),
         "genero": F.col("_genero_vitima") != "",
         "deficiencia": F.col("_deficiencia_vitima") != "",
         "orientacao_sexual": F.col("_orientacao_sexual_vitima") != "",
@@ -95,7 +95,7 @@ def groups(df: DataFrame) -> DataFrame:
         "vitima_presa": F.col("_vitima_presa") != "",
     }
     c = c.withColumn("sinais", F.array_compact(F.array(*[F.when(e, F.lit(n)) for n, e in signals.items()])))
-    return with_group_counts(c.withColumn("grupo_primario", primary_group())).drop("_faixa", *[f"_{n}" for n in fields])
+    return with_group_counts(c.withColumn("grupo_primario", primary_group())).drop("_bracket", "_age", *[f"_{n}" for n in fields])
 
 
 def primary_group(labels: dict[str, str] = config.PRIMARY, other: str = config.PRIMARY_OTHER) -> Column:

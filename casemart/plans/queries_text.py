@@ -114,9 +114,9 @@ _ELDER = f"(coalesce({_age_sql('faixa_etaria_vitima', 'lo')} >= 60, false) OR {c
 
 @BOOK.add(_CASES + f" SELECT p_partkey, {_age_sql('faixa_etaria_vitima', 'lo')} AS lo, {_age_sql('faixa_etaria_vitima', 'hi')} AS hi, {_CHILD} AS child, {_ELDER} AS elderly FROM c")
 def age_bracket(spark, sf_dir):
-    rows = cases(spark, sf_dir)
-    age = F.col("faixa_etaria_vitima")
-    return rows.select("p_partkey", tx.age_range(age)["lo"].alias("lo"), tx.age_range(age)["hi"].alias("hi"), tx.is_child_age(age).alias("child"), tx.is_elderly_age(age).alias("elderly"))
+    rows = tx.with_age(cases(spark, sf_dir), F.col("faixa_etaria_vitima"))
+    bracket, age = F.col("_bracket"), F.col("_age")
+    return rows.select("p_partkey", age["lo"].alias("lo"), age["hi"].alias("hi"), tx.is_child(bracket, age).alias("child"), tx.is_elderly(bracket, age).alias("elderly"))
 
 
 _FLAG_SQL = {
@@ -139,7 +139,10 @@ _SIGNALS = {"grupo_vulneravel": "grupo_vulneravel <> ''", "faixa_etaria": f"({_a
 
 @BOOK.add(_CASES + ", s AS (" + " UNION ALL ".join(f"SELECT '{n}' AS signal, count_if({e}) AS n FROM c" for n, e in _SIGNALS.items()) + ") SELECT * FROM s WHERE n > 0")
 def signal_coverage(spark, sf_dir):
-    return classify.groups(cases(spark, sf_dir)).select(F.explode("sinais").alias("signal")).groupBy("signal").agg(F.count(F.lit(1)).alias("n"))
+    """Counted in one pass: exploding the signals would let Catalyst push a filter with all their rules below."""
+    sums = classify.groups(cases(spark, sf_dir)).agg(*[F.count_if(F.array_contains("sinais", n)).alias(n) for n in _SIGNALS])
+    rows = F.array(*[F.struct(F.lit(n).alias("signal"), F.col(n).alias("n")) for n in _SIGNALS])
+    return sums.select(F.explode(rows).alias("r")).select("r.*").filter("n > 0")
 
 
 @BOOK.add(FACT_SQL + f"SELECT CASE {' '.join(f'WHEN {f} = 1 THEN {literal(config.PRIMARY[f])}' for f in FLAGS)} ELSE {literal(config.PRIMARY_OTHER)} END AS grupo_primario, count(*) AS n FROM fact GROUP BY 1")

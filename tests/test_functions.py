@@ -29,10 +29,13 @@ def test_clean(spark):
 
 
 def test_ages(spark):
-    got = values(spark, tx.age_range, "12 a 14 anos", "40 A 44 ANOS", "08 ANOS", "80 anos ou mais", "00 a 1 ano", "Recem-nascido", "N/D", "61 a 60 anos")
+    def of(f):
+        return lambda c: f(tx.clean(c), tx.age_range_of(tx.clean(c)))
+
+    got = values(spark, lambda c: tx.age_range_of(tx.clean(c)), "12 a 14 anos", "40 A 44 ANOS", "08 ANOS", "80 anos ou mais", "00 a 1 ano", "Recem-nascido", "N/D", "61 a 60 anos")
     assert [r and (r.lo, r.hi) for r in got] == [(12, 14), (40, 44), (8, 8), (80, 120), (0, 1), (0, 0), None, (60, 61)]
-    assert values(spark, tx.is_child_age, "56 a 60 anos", "40 A 44 ANOS", "17 ANOS", "adolescente", None) == [False, False, True, True, False]
-    assert values(spark, tx.is_elderly_age, "56 a 60 anos", "60 A 64 ANOS", "idosa", "91 anos ou mais") == [False, True, True, True]
+    assert values(spark, of(tx.is_child), "56 a 60 anos", "40 A 44 ANOS", "17 ANOS", "adolescente", None) == [False, False, True, True, False]
+    assert values(spark, of(tx.is_elderly), "56 a 60 anos", "60 A 64 ANOS", "idosa", "91 anos ou mais") == [False, True, True, True]
 
 
 def test_municipality(spark):
