@@ -90,6 +90,15 @@ class Chunks(dict):
         return ids
 
 
+def cut(text: str) -> list[str]:
+    """The chunks between blanks. A Latin-1 text is lowered first, as the tokenizer would letter by letter, so fewer chunks are new."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.replace("\n", " ").split(" ")
+    return text.lower().replace("\n", " ").split(" ")
+
+
 def packed(ids: list[int]) -> bytes:
     whole = array("I", ids)
     if sys.byteorder == "big":
@@ -118,7 +127,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out: str, key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = loaded(tokenizer_path)
         for b in batches:
-            rows = [b"".join([*map(chunks.__getitem__, t.replace("\n", " ").split(" ")), end]) for t in b.column(2).to_pylist()]
+            rows = [b"".join([*map(chunks.__getitem__, cut(t)), end]) for t in b.column(2).to_pylist()]
             ends = np.cumsum([0, *map(len, rows)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], names=["doc_id", "text_hash", "ids"])
