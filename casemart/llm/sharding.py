@@ -174,4 +174,4 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slac
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
     placed = shard_rows(table(spark, sf_dir, "documents"), SHARDS, VNODES)
-    return placed.select("doc_id", "bytes", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select("doc_id", F.col("bytes").alias("size"), "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from casemart.llm.sharding import allotment, ring, shard_rows
+from casemart.llm.sharding import allotment, op1_sharding, ring, shard_rows
 
 
 def test_counts_slots_and_digests(messy, rows):
@@ -57,3 +57,10 @@ def test_ring_covers_every_cell(spark):
 
 def test_empty(nothing):
     assert shard_rows(nothing, shards=3, vnodes=4).count() == 0
+
+
+def test_columns_of_the_query(spark, rows, tmp_path):
+    spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op1_sharding(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and dict(got.dtypes)["size"] == "bigint"
+    assert sorted(r["size"] for r in got.collect()) == sorted(len((r[1] or "").encode()) + 16 for r in rows)
