@@ -2,7 +2,8 @@
 
 The split pattern cuts a text into pieces, and merges never cross a piece. So
 the library's BPE model merges every distinct piece once in a worker, and a
-text is the chain of its pieces. Tokens spell their
+text is the chain of its pieces. The model is built from a file of ranks: any
+two neighbours whose join has a rank may merge, lowest rank first. Tokens spell their
 bytes in a byte-to-character table; decoding reverses the table and joins the
 bytes of all tokens before it reads them as UTF-8, because a character may be
 split over tokens.
@@ -10,6 +11,7 @@ split over tokens.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -20,13 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
-
-#: Distinct pieces that a task remembers before it forgets all of them.
-REMEMBERED = 400_000
-#: Longer pieces are encoded but not remembered.
-LONGEST_REMEMBERED = 64
-
+from .common import Remembered, spread, table
 
 def byte_characters() -> dict[int, str]:
     """The character that stands for each byte: printable Latin-1 characters stand for themselves, the others for code points from 256 on, in order."""
@@ -36,37 +32,36 @@ def byte_characters() -> dict[int, str]:
     return table_ | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
-class Pieces(dict):
-    """The token ids of every piece met so far; the library's model merges a new one."""
+SPELLING = str.maketrans({chr(b): c for b, c in byte_characters().items()})
+
+
+def spelt(piece: bytes) -> str:
+    """A character for each byte."""
+    return piece.decode("latin-1").translate(SPELLING)
+
 
-    def __init__(self, model):
-        super().__init__()
-        self.model, self.characters = model, str.maketrans({chr(b): c for b, c in byte_characters().items()})
+def ranked(path: str) -> dict[bytes, int]:
+    """The ranks of a file with a base64 token and its rank in each line."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
-    def spelt(self, piece: str) -> str:
-        """The piece with a character for each of its UTF-8 bytes."""
-        return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.characters)
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple([t.id for t in self.model.tokenize(self.spelt(piece))])
-        if len(piece) <= LONGEST_REMEMBERED:
-            if len(self) > REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
+def merges(ranks: dict[bytes, int]) -> list[tuple[str, str]]:
+    """All pairs of tokens whose join is a token, in the order of its rank."""
+    return [(spelt(t[:i]), spelt(t[i:])) for t in sorted(ranks, key=ranks.__getitem__) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
 
 
 class ByteBPE:
-    """Encoder and decoder of one tokenizer file of the tokenizers library with byte-level pieces."""
+    """Encoder and decoder of one file of ranks with byte-level pieces."""
 
     def __init__(self, path: str, pattern: str):
-        from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
-        tokenizer = Tokenizer.from_file(path)
+        ranks = ranked(path)
+        model = BPE({spelt(t): i for t, i in ranks.items()}, merges(ranks))
         self.pattern = regex.compile(pattern)
-        self.pieces = Pieces(tokenizer.model)
-        byte_of = {c: b for b, c in byte_characters().items()}
-        self.bytes_of = {i: bytes(byte_of[c] for c in t) for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in t)}
+        self.pieces = Remembered(lambda piece: tuple([t.id for t in model.tokenize(spelt(piece.encode("utf-8", "surrogatepass")))]))
+        self.bytes_of = {i: t for t, i in ranks.items()}
 
     def encode(self, text: str) -> list[int]:
         pieces = self.pieces
@@ -162,8 +157,8 @@ def public_coder() -> tuple[str, str]:
     """Path and pattern of the public 50k vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), *public_coder())
+    return digests(spread(table(spark, sf_dir, "documents")), *public_coder())

@@ -8,6 +8,7 @@ row groups whose metadata excludes it.
 
 from __future__ import annotations
 
+import json
 import sys
 import zlib
 from array import array
@@ -20,8 +21,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import byte_characters
-from .common import parallelism, scratch, stored, table
+from .bpe import spelt
+from .common import Remembered, parallelism, scratch, stored, table
 
 END_ID = 1
 ROW_STRIDE = 10_000
@@ -34,10 +35,6 @@ ORC = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
-#: Distinct chunks that a worker remembers before it forgets all of them, and the longest of them.
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 64
-
-
 #: Chunks of printable Latin-1 only: composed already, lowered letter by letter, and without white space.
 PLAIN = regex.compile(r"[!-~¡-¬®-ÿ]+")
 STOPS = frozenset(".,;:!?")
@@ -45,49 +42,53 @@ STOPS = frozenset(".,;:!?")
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-class Pieces(dict):
-    """The ids, as little-endian 32-bit bytes, of every lowered piece met so far, merged by the library's model."""
-
-    def __init__(self, model):
-        super().__init__()
-        self.model, self.characters = model, str.maketrans({chr(b): c for b, c in byte_characters().items()})
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = packed([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.characters))])
-        if len(piece) <= LONGEST_REMEMBERED:
-            if len(self) > REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
+#: What the short cuts below rely on in a tokenizer file: Unicode composition, one blank for white space, lower case, this split, bytes as characters.
+NORMALISED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = [{"type": "Split", "pattern": {"Regex": PIECE.pattern}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 
 
-class Chunks(dict):
-    """The ids of every chunk between blanks met so far.
+class Encoder:
+    """The library's ids of whole texts, as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and merges nothing across it, so the ids
-    of a text are those of its chunks, one after the other. A plain chunk is
-    lowered and split here and merged piece by piece; any other goes through
-    the whole tokenizer.
+    A tokenizer that normalises and splits as above drops white space and
+    merges nothing across it, so the ids of a text are those of its chunks
+    between blanks, one after the other. A plain chunk is lowered and split
+    here and merged piece by piece by the library's model; any other chunk
+    goes through the whole tokenizer. So does every text that holds one of the
+    tokenizer's special strings, and every text of any other tokenizer.
     """
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.pieces = tokenizer, Pieces(tokenizer.model)
-
-    def __missing__(self, chunk: str) -> bytes:
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        added = spec["added_tokens"]
+        self.special = tuple(t["content"] for t in added)
+        self.chunked = (
+            spec["normalizer"] == NORMALISED and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": SPLIT} and spec["model"]["type"] == "BPE"
+            and not (spec["post_processor"] or spec["truncation"] or spec["padding"]) and not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in added)
+        )
+        model = self.tokenizer.model
+        self.pieces = Remembered(lambda piece: packed([t.id for t in model.tokenize(spelt(piece.encode()))]))
+        self.chunks = Remembered(self.chunk)
+
+    def whole(self, text: str) -> bytes:
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def chunk(self, chunk: str) -> bytes:
         word = chunk if chunk.isalpha() else chunk[:-1]
         if word.isascii() and word.isalpha() and (word is chunk or chunk[-1] in STOPS):
             # most new chunks: a word, perhaps with a stop, needs no pattern
-            ids = self.pieces[word.lower()] if word is chunk else self.pieces[word.lower()] + self.pieces[chunk[-1]]
-        elif PLAIN.fullmatch(chunk):
-            ids = b"".join([self.pieces[p] for p in PIECE.findall(chunk.lower())])
-        else:
-            ids = packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        if len(chunk) <= LONGEST_REMEMBERED:
-            if len(self) > REMEMBERED:
-                self.clear()
-            self[chunk] = ids
-        return ids
+            return self.pieces[word.lower()] if word is chunk else self.pieces[word.lower()] + self.pieces[chunk[-1]]
+        if PLAIN.fullmatch(chunk):
+            return b"".join([self.pieces[p] for p in PIECE.findall(chunk.lower())])
+        return self.whole(chunk)
+
+    def encode(self, text: str) -> bytes:
+        if not self.chunked or any(s in text for s in self.special):
+            return self.whole(text)
+        return b"".join(map(self.chunks.__getitem__, cut(text)))
 
 
 def cut(text: str) -> list[str]:
@@ -107,17 +108,16 @@ def packed(ids: list[int]) -> bytes:
 
 
 @cache
-def loaded(path: str) -> Chunks:
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return Chunks(tokenizer)
+def loaded(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, out: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
     """Encodes every whole text, appends end_id, and writes doc_id, text_hash and ids in ascending order.
 
+    The ids are those of Tokenizer.encode(text, add_special_tokens=False), so
+    a special token's own string in a text becomes that token.
+
     Null texts count as empty and still get end_id; null ids come first; rows
     that repeat an id follow each other in the order of their texts' hashes;
     an empty table gives files without rows; further columns are not read.
@@ -125,9 +125,9 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out: str, key: str = "doc_id
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = loaded(tokenizer_path)
+        coder = loaded(tokenizer_path)
         for b in batches:
-            rows = [b"".join([*map(chunks.__getitem__, cut(t)), end]) for t in b.column(2).to_pylist()]
+            rows = [coder.encode(t) + end for t in b.column(2).to_pylist()]
             ends = np.cumsum([0, *map(len, rows)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], names=["doc_id", "text_hash", "ids"])
