@@ -51,13 +51,18 @@ def named(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s:"), source.cast("string")), F.lit("null"))
 
 
-def bisect(shares: DataFrame, target_entropy: float, repeat_limit: float, budget_share: float) -> float:
+def bisect(shares: DataFrame, target_entropy: float, repeat_limit: float, budget_share: float, cover: bool = False) -> float:
     """The largest exponent in [0, 1] whose weights reach the target, to about 1e-11.
 
     shares: one row a source with its `share`. Entropy falls and repetition
     falls as the exponent grows: the entropy target bounds it from above, the
     repetition limit from below, and the limit wins where they disagree. Every
     pass evaluates TRIED exponents and brings back one number for each.
+
+    A source is passed p^a / (z p) * budget_share times. With `cover` the
+    budget is that of plan(), so the smallest source is passed as often as the
+    raised budget makes it. A budget of more than repeat_limit corpora passes
+    every source more often whatever the exponent: then it is 1.
     """
     n = shares.count()
     if n <= 1:
@@ -77,12 +82,13 @@ def bisect(shares: DataFrame, target_entropy: float, repeat_limit: float, budget
     def spread(a: float, z: float, slope: float) -> bool:
         return math.log(z) - a * slope / z >= target_entropy * math.log(n)
 
-    def repeats(a: float, z: float, _slope: float) -> bool:
-        return least ** (a - 1) / z * budget_share > repeat_limit  # holds where the limit is passed
+    def repeats(a: float, z: float, _slope: float = 0.0) -> bool:
+        spent = max(budget_share, most ** (1 - a) * z) if cover else budget_share
+        return least ** (a - 1) / z * spent > repeat_limit  # holds where the limit is passed
 
-    whole, least = shares.agg(F.sum(-F.col("share") * F.log("share")), F.min("share")).first()
+    whole, least, most = shares.agg(F.sum(-F.col("share") * F.log("share")), F.min("share"), F.max("share")).first()
     highest = 1.0 if whole >= target_entropy * math.log(n) else search(spread, 0.0, 1.0)
-    if 1 / (n * least) * budget_share > repeat_limit:
+    if repeats(0.0, n):
         lowest = search(repeats, 0.0, 1.0)
         highest = max(highest, min(1.0, lowest + 1e-9))
     return round(highest, 9)
@@ -92,7 +98,9 @@ def plan(sizes: DataFrame, target_entropy: float, repeat_limit: float, budget_to
     """source_key, n_tokens, n_blocks, weight, budget of every source with tokens.
 
     sizes: source_key, n_tokens. The budget is budget_tokens (all tokens if
-    None); with `cover` it is the least with which every source is passed once.
+    None); with `cover` it is raised to the least with which every source is
+    passed once. No source with a positive budget is passed more than
+    repeat_limit times, up to the rounding of its budget to whole tokens.
     """
     sizes = stored(sizes.filter("n_tokens > 0"), "mix-sources")
     total = sizes.agg(F.sum("n_tokens")).first()[0]
@@ -100,10 +108,10 @@ def plan(sizes: DataFrame, target_entropy: float, repeat_limit: float, budget_to
         return sizes.select("source_key", "n_tokens", F.lit(0).alias("n_blocks"), F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("budget"))
     shares = sizes.withColumn("share", F.col("n_tokens") / F.lit(float(total)))
     wanted = total if budget_tokens is None else budget_tokens
-    exponent = bisect(shares, target_entropy, repeat_limit, wanted / total)
+    exponent = bisect(shares, target_entropy, repeat_limit, wanted / total, cover)
     z, most = shares.agg(F.sum(F.pow("share", F.lit(exponent))), F.max("share")).first()
     if cover:
-        wanted = round(total * max(1.0, most ** (1 - exponent) * z))
+        wanted = max(wanted, round(total * most ** (1 - exponent) * z))
     weight = F.round(F.pow("share", F.lit(exponent)) / F.lit(z), 12)
     block = F.greatest(F.lit(BLOCK_TOKENS), F.ceil(F.col("n_tokens") / F.lit(MOST_BLOCKS)))
     return shares.select(
@@ -179,7 +187,7 @@ def op3_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-#: With the parameters above; the repetition limit is left out, as no source of the tables comes near it.
+#: With the parameters above.
 OP3_SQL = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('s:' || source, 'null') AS k, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM documents),
 s AS (SELECT k, CAST(sum(n_tokens) AS BIGINT) AS n FROM d GROUP BY k HAVING sum(n_tokens) > 0), t AS (SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS sources FROM s),
@@ -188,7 +196,13 @@ bis AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi
   UNION ALL SELECT i + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM (
     SELECT i, lo, hi, (lo + hi) / 2 AS mid, ln(sum(pow(share, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(share, (lo + hi) / 2) * ln(share)) / sum(pow(share, (lo + hi) / 2)) >= {TARGET_ENTROPY} * ln(max(sources)) AS ok
     FROM bis, p WHERE i < 50 GROUP BY i, lo, hi)),
-a AS (SELECT CASE WHEN (SELECT -sum(share * ln(share)) >= {TARGET_ENTROPY} * ln(max(sources)) FROM p) THEN 1.0 ELSE (SELECT round(lo, 9) FROM bis WHERE i = 50) END AS a),
+lim AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi
+  UNION ALL SELECT i + 1, CASE WHEN over_ THEN mid ELSE lo END, CASE WHEN over_ THEN hi ELSE mid END FROM (
+    SELECT i, lo, hi, (lo + hi) / 2 AS mid, pow(min(share), (lo + hi) / 2 - 1) / sum(pow(share, (lo + hi) / 2)) > {REPEAT_LIMIT} AS over_
+    FROM lim, p WHERE i < 50 GROUP BY i, lo, hi)),
+a AS (SELECT CASE WHEN max(sources) <= 1 THEN 1.0 ELSE round(greatest(
+    CASE WHEN -sum(share * ln(share)) >= {TARGET_ENTROPY} * ln(max(sources)) THEN 1.0 ELSE (SELECT lo FROM bis WHERE i = 50) END,
+    CASE WHEN 1 / (max(sources) * min(share)) > {REPEAT_LIMIT} THEN least(1.0, (SELECT lo FROM lim WHERE i = 50) + 1e-9) ELSE 0.0 END), 9) END AS a FROM p),
 z AS (SELECT sum(pow(share, a)) AS z FROM p, a),
 pl AS (SELECT k, n, CAST(round(round(pow(share, a) / z, 12) * total) AS BIGINT) AS budget, CAST(greatest(1, ceil(n / greatest({BLOCK_TOKENS}, ceil(n / {MOST_BLOCKS}.0)))) AS BIGINT) AS n_blocks FROM p, a, z),
 dl AS (SELECT d.*, coalesce(('0x' || substr(md5('{SEED}:' || d.k || ':' || doc_id), 1, 13))::BIGINT % n_blocks, 0) AS block FROM d LEFT JOIN pl USING (k)),

@@ -19,8 +19,10 @@ from .common import let, stored, table
 
 SHARDS = 40
 VNODES = 64
-#: Cells of the ring; every cell lies in one arc. Fixed, so the cell map may be broadcast.
+#: Cells of the ring; every cell lies in one arc. The parameters alone fix their number, so the cell map may be broadcast.
 CELLS = 1 << 16
+#: Cells for each virtual node at least.
+SPACING = 4
 #: An arc's rows are ranked in this many parts, so one key with many texts does not meet in one task.
 PARTS = 16
 
@@ -29,21 +31,42 @@ def _hash(*cols: Column) -> Column:
     return F.xxhash64(F.lit("ring"), *cols)
 
 
+def cells_for(shards: int, vnodes: int) -> int:
+    return max(CELLS, 1 << (SPACING * shards * vnodes - 1).bit_length())
+
+
+def _cell(hashed: Column, cells: int) -> Column:
+    """The upper bits: twice as many cells leave every hash at its place on the ring."""
+    return F.shiftrightunsigned(hashed, 65 - cells.bit_length())
+
+
 def ring(spark, shards: int, vnodes: int) -> DataFrame:
-    """cell, arc, shard: for every cell of the ring the next virtual node clockwise. Two nodes in one cell: the lower shard has it."""
-    nodes = (
+    """cell, arc, shard: for every cell of the ring the next virtual node clockwise.
+
+    No two nodes share a cell: one that finds its cell taken stands in the
+    next free one, so every shard keeps all its nodes.
+    """
+    cells = cells_for(shards, vnodes)
+    wanted = (
         spark.range(shards * vnodes)
         .select((F.col("id") % shards).cast("int").alias("shard"), (F.col("id") / shards).cast("int").alias("v"))
-        .withColumn("cell", F.pmod(F.xxhash64(F.lit("vnode"), "shard", "v"), F.lit(CELLS)))
-        .groupBy("cell")
-        .agg(F.min("shard").alias("shard"))
+        .withColumn("cell", _cell(F.xxhash64(F.lit("vnode"), "shard", "v"), cells))
     )
+    # the k-th node stands k cells after the one from which no cell was free, or at its own cell
+    in_order = Window.orderBy("cell", "shard", "v")
+    k = F.row_number().over(in_order)
+    seated = wanted.withColumn("k", k).withColumn("cell", F.max(F.col("cell") - F.col("k")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("k"))
+    inside = seated.filter(F.col("cell") < cells).select("cell", "shard")
+    # those past the end go on at the beginning, each to the next free cell
+    past = seated.filter(F.col("cell") >= cells).select("shard", F.row_number().over(Window.orderBy("cell")).alias("n"))
+    free = spark.range(cells).withColumnRenamed("id", "cell").join(inside, "cell", "left_anti").select("cell", F.row_number().over(Window.orderBy("cell")).alias("n"))
+    nodes = inside.unionByName(free.join(past, "n").select("cell", "shard"))
     # one row holds the first node: cells past the last node belong to it
     first = nodes.agg(F.min(F.struct("cell", "shard")).alias("first"))
     ahead = Window.orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, 0)
     own = F.last(F.when(F.col("shard").isNotNull(), F.struct(F.col("cell").alias("arc"), "shard")), ignorenulls=True)
     return (
-        spark.range(CELLS)
+        spark.range(cells)
         .withColumnRenamed("id", "cell")
         .join(nodes, "cell", "left")
         .withColumn("at", own.over(ahead))
@@ -134,7 +157,8 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slac
     Defined cases: a null key hashes as a key of its own; a null text counts
     as empty (16 bytes, crc32 0); repeated rows are rows like any other; an
     empty table gives an empty result; other columns, whatever their names,
-    are not read.
+    are not read. Rows of one key with different texts are ranked in PARTS
+    tasks; only rows equal in key and text meet in one.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
@@ -145,18 +169,22 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slac
     ).withColumns(
         {
             "hash": _hash(F.col("doc_id")),
-            "cell": F.pmod(_hash(F.col("doc_id")), F.lit(CELLS)),
+            "cell": _cell(_hash(F.col("doc_id")), cells_for(shards, vnodes)),
             "part": F.pmod(F.xxhash64(F.lit("part"), "doc_id", "text_crc32"), F.lit(PARTS)).cast("int"),
         }
     )
     slim = stored(slim, "shard-keys")  # the texts are read once
-    cells = F.broadcast(ring(spark, shards, vnodes))  # CELLS rows at any size of input
+    around = stored(ring(spark, shards, vnodes), "shard-ring")
+    cells = F.broadcast(around)  # as many rows as the parameters say, at any size of input
     parts = slim.join(cells, "cell").groupBy("arc", "part").agg(F.count(F.lit(1)).alias("n"))
     parts = stored(parts, "shard-counts")  # shards * vnodes * PARTS rows at most
-    arcs = ring(spark, shards, vnodes).select("arc", "shard").distinct().join(parts.groupBy("arc").agg(F.sum("n").alias("n")), "arc", "left").fillna(0, "n")
+    arcs = around.select("arc", "shard").distinct().join(parts.groupBy("arc").agg(F.sum("n").alias("n")), "arc", "left").fillna(0, "n")
     earlier = Window.partitionBy("arc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("arc", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
     plan = stored(allotment(arcs, shards, slack), "shard-plan").withColumnRenamed("shard", "to_shard")
+    placed, there = plan.agg(F.sum(F.col("to_rank") - F.col("from_rank"))).first()[0], parts.agg(F.sum("n")).first()[0]
+    if placed != there:
+        raise ValueError(f"{there} rows, but places for {placed}")
 
     in_part = Window.partitionBy("arc", "part").orderBy("hash", "doc_id", "text_crc32", "bytes")
     ranked = (

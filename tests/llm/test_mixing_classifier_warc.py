@@ -39,6 +39,32 @@ def test_cover_loses_no_document(spark):
     assert mixing.mixed_rows(corpus(spark), target_entropy=0.95, cover=True).count() == rows.count()
 
 
+@pytest.mark.parametrize("limit", [1.3, 2.0])
+def test_the_limit_holds_with_cover(spark, limit):
+    """The budget that cover raises is the one that the limit is bisected against."""
+    have = {r.source: r.n for r in corpus(spark).groupBy("source").agg(F.sum(mixing.tokens(F.col("text"))).alias("n")).collect()}
+    rows = mixing.mix(corpus(spark), target_entropy=1.0, repeat_limit=limit, cover=True)
+    n = {r.source: r.n for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert max(n[s] / have[s] for s in have) == pytest.approx(limit, abs=0.02)
+    assert rows.select("doc_id").distinct().count() == 3000
+
+
+def test_the_sql_has_the_limit(spark, tmp_path):
+    """A source so small that the limit binds: query and SQL still agree."""
+    import duckdb
+
+    docs = spark.range(2000).select("id", F.repeat(F.lit("w "), (F.col("id") % 40 + 1).cast("int")).alias("text"), F.when(F.col("id") == 0, "one").when(F.col("id") % 50 == 1, "few").otherwise("big").alias("source")).withColumnRenamed("id", "doc_id")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, mixing.op3_mixing(spark, str(tmp_path)).collect()))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        assert sorted(db.execute(mixing.OP3_SQL).fetchall()) == got
+    times = {}
+    for r in got:
+        times[r[1]] = times.get(r[1], 0) + r[2]
+    assert times["few"] > 900 and times["one"] <= 4
+
+
 def test_every_pass_takes_a_block_once(spark):
     rows = mixing.mix(corpus(spark), target_entropy=0.99)
     assert rows.count() == rows.select("doc_id", "epoch").distinct().count()

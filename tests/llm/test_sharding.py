@@ -55,6 +55,31 @@ def test_ring_covers_every_cell(spark):
     assert cells.filter("shard is null").isEmpty()
 
 
+def test_every_shard_keeps_its_nodes(spark):
+    for shards, vnodes in ((1000, 1), (300, 80)):
+        arcs = ring(spark, shards, vnodes).select("arc", "shard").distinct()
+        assert arcs.count() == shards * vnodes
+        assert {r.n for r in arcs.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()} == {vnodes}
+
+
+def test_no_row_is_lost_with_one_node_a_shard(spark):
+    docs = spark.range(5_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    got = shard_rows(docs, shards=1000, vnodes=1)
+    assert got.count() == got.select("doc_id").distinct().count() == 5_000
+    sizes = [r.n for r in got.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 1000 and set(sizes) == {5}
+
+
+def test_movement_when_a_shard_is_added(spark):
+    """With room to spare about the new shard's share moves, far fewer keys than a modulus would move (40 of 41)."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    at = {n: {r.doc_id: r.shard for r in shard_rows(docs, shards=n, vnodes=64, slack=0.25).collect()} for n in (40, 41)}
+    moved = [k for k, s in at[40].items() if at[41][k] != s]
+    print("moved", len(moved) / 20_000, "of them to the new shard", sum(at[41][k] == 40 for k in moved) / len(moved))
+    assert len(moved) < 0.08 * 20_000
+    assert sum(at[41][k] == 40 for k in moved) > 0.5 * len(moved)
+
+
 def test_empty(nothing):
     assert shard_rows(nothing, shards=3, vnodes=4).count() == 0
 
