@@ -23,8 +23,9 @@ outside its largest are compared with the bucket's other components: directly
 in a bucket of up to SMALL classes, and in a larger one through their rarest
 shingles. Two bags that reach THRESHOLD must share one of the rarest shingles
 that hold a fifth of either bag's weight, so classes of a large bucket that
-share none of these need no comparison, and a bucket full of texts that only
-have a passage in common is never expanded into its pairs.
+share none of these need no comparison, nor do those whose weights and places
+in the order leave too little to share: a bucket full of texts that only have
+a passage in common is not expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -38,33 +39,24 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import Remembered, spread, stored, table
 
 SHINGLE = 5
-#: Four fifths; _rarest and _across count with it in whole numbers.
+#: Four fifths; _rarest and _reachable count with it in whole numbers.
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 SIZE = BANDS * ROWS
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 PART = 256
 SMALL = 4
+#: Cells of weights in a factor of e, and classes of one shingle that a task compares with the others.
+CELLS_A_FACTOR, BLOCK = 32, 4_096
 #: Shingles of the texts that a worker handles at once: the bound of its memory.
 SLICE = 400_000
-#: Words whose hashes a worker remembers.
-REMEMBERED = 500_000
 
 
-class Words(dict):
-    """64-bit hashes of the words met so far."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-WORDS = Words()
+#: 64-bit hashes of the words met so far.
+WORDS = Remembered(lambda word: xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -239,21 +231,37 @@ def _divided(held: DataFrame, group: str) -> DataFrame:
     return held.join(main.select(group, F.col("m.root").alias("main")), group)
 
 
-def _across(rows: DataFrame, group: str, *bounds: str) -> DataFrame:
-    """Pairs (a < b) of a group's classes outside its main component with those of its other components.
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs (a < b) of a small bucket's classes outside its main component with those of its other components."""
+    x = rows.filter("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
+    y = rows.select("bucket", F.col("node").alias("y"), F.col("root").alias("ry"))
+    return x.join(y, "bucket").filter("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
-    With the columns of `bounds`, a bag's weight and what is left of it from
-    the shared shingle on: only pairs that can still reach THRESHOLD. The
-    first shingle that a pair shares keeps every pair that does reach it,
-    as the bags must share 4 / 9 of the sum of their weights.
+
+def _reachable(rows: DataFrame) -> DataFrame:
+    """Pairs (a < b) of a class outside its shingle's main component and one of another component that can still reach THRESHOLD.
+
+    rows: token, node, root, main, weight, left (what a bag's weight is from
+    the shingle on, in the order of rarity), often. Bags of weights v and w
+    reach it only if they share 4 / 9 of v + w, so only if neither is under
+    4 / 5 of the other and both have as much left from the first shingle that
+    they share. A bag therefore looks for weights from 4 / 5 w up to
+    9 / 4 left - w: weights are dealt into narrow cells, and it goes to the
+    cells of that range only, which are none where too little is left. The
+    classes of a very frequent shingle are dealt over several tasks, each of
+    which sees all possible partners.
     """
-    x = rows.filter("root <> main").select(group, F.col("node").alias("x"), F.col("root").alias("rx"), *[F.col(c).alias(c + "_x") for c in bounds])
-    y = rows.select(group, F.col("node").alias("y"), F.col("root").alias("ry"), *[F.col(c).alias(c + "_y") for c in bounds])
-    on = F.col("rx") != F.col("ry")
-    if bounds:
-        weight, left = bounds
-        on = on & (9 * F.least(left + "_x", left + "_y") >= 4 * (F.col(weight + "_x") + F.col(weight + "_y")))
-    return x.join(y, group).filter(on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    cell = lambda w: F.floor(F.log(w) * CELLS_A_FACTOR).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("often") / BLOCK)).cast("int")
+    rows = rows.withColumn("lowest", F.ceil(F.col("weight") * 4 / 5)).withColumn("highest", F.least(F.floor(F.col("weight") * 5 / 4), F.floor(F.col("left") * 9 / 4) - F.col("weight"))).filter("highest >= lowest")
+    x = (
+        rows.filter("root <> main")
+        .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        .select("token", "block", F.explode(F.sequence(cell(F.col("lowest")), cell(F.col("highest")))).alias("cell"), F.col("node").alias("x"), F.col("root").alias("rx"), "lowest", "highest", F.col("weight").alias("wx"))
+    )
+    y = rows.select("token", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), cell(F.col("weight")).alias("cell"), F.col("node").alias("y"), F.col("root").alias("ry"), "main", F.col("weight").alias("wy"), F.col("highest").alias("highest_y"))
+    met = (F.col("rx") != F.col("ry")) & F.col("wy").between(F.col("lowest"), F.col("highest")) & (F.col("wx") <= F.col("highest_y")) & ((F.col("ry") == F.col("main")) | (F.col("y") < F.col("x")))
+    return x.join(y, ["token", "block", "cell"]).filter(met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,14 +272,14 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rarest(nodes: DataFrame, bags: DataFrame) -> DataFrame:
-    """node, root, token, weight, left: of every bag the shingles, rarest first, without which less than THRESHOLD of its weight remains."""
+    """node, root, token, weight, left, often: of every bag the shingles, rarest first, without which less than THRESHOLD of its weight remains."""
     rows = nodes.join(bags, F.col("node") == F.col("doc_id")).select("node", "root", "keys", "counts").mapInArrow(_tokens, "node long, root long, token long, count long")
     rows = stored(rows, "near-tokens")
     often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     in_bag = Window.partitionBy("node")
     before = in_bag.orderBy("often", "token").rowsBetween(Window.unboundedPreceding, -1)
     ranked = rows.join(often, "token", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).withColumn("weight", F.sum("count").over(in_bag))
-    return ranked.filter((F.col("before") <= F.col("weight") - F.floor((4 * F.col("weight") + 4) / 5)) & (F.col("often") > 1)).select("node", "root", "token", "weight", (F.col("weight") - F.col("before")).alias("left"))
+    return ranked.filter((F.col("before") <= F.col("weight") - F.floor((4 * F.col("weight") + 4) / 5)) & (F.col("often") > 1)).select("node", "root", "token", "weight", (F.col("weight") - F.col("before")).alias("left"), "often")
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -311,9 +319,9 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     roots = stored(components(nodes, links), "near-roots")
     held = shared.select("bucket", F.col("rep").alias("node"), "n").join(roots, "node")
     open_ = stored(_divided(held, "bucket"), "near-open")
-    more = _across(open_.filter(F.col("n") <= SMALL), "bucket")
+    more = _across(open_.filter(F.col("n") <= SMALL))
     large = open_.filter(F.col("n") > SMALL).select("node", "root").distinct()
-    more = more.unionByName(_across(_divided(_rarest(large, bags), "token"), "token", "weight", "left"))
+    more = more.unionByName(_reachable(_divided(_rarest(large, bags), "token")))
     more = stored(more.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
     more = stored(verified(more, bags), "near-links")
     if not more.isEmpty():
@@ -338,4 +346,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents"))
+    return near_classes(spread(table(spark, sf_dir, "documents")))

@@ -1,7 +1,9 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from casemart.llm import near_dedup as nd
 
@@ -58,6 +60,30 @@ def test_classes_against_brute_force(spark, rows):
     assert got == classes(docs)
 
 
+def test_reachable_against_all_pairs(spark, monkeypatch):
+    """The cells and blocks lose no pair that the bounds allow."""
+    monkeypatch.setattr(nd, "BLOCK", 7)
+    rng = random.Random(4)
+    rows = []
+    for node in range(120):
+        weight = rng.randint(1, 40) if node < 60 else rng.randint(90, 130)
+        rows.append((node % 3, node, node // rng.randint(1, 4), 5, weight, rng.randint(-(-4 * weight // 5), weight), 40))
+    got = [tuple(r) for r in nd._reachable(spark.createDataFrame(rows, "token long, node long, root long, main long, weight long, left long, often long")).collect()]
+    want = {
+        (min(p[1], q[1]), max(p[1], q[1])) for p in rows for q in rows
+        if p[0] == q[0] and p[2] != q[2] and p[2] != 5 and 5 * min(p[4], q[4]) >= 4 * max(p[4], q[4]) and 9 * min(p[5], q[5]) >= 4 * (p[4] + q[4])
+    }
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_a_shingle_of_many_classes_is_not_expanded(spark):
+    """40,000 classes that share a shingle and can't be near: the join makes no pair of them, so it ends at once."""
+    rows = spark.range(40_000).select(F.lit(1).cast("long").alias("token"), F.col("id").alias("node"), F.col("id").alias("root"), F.lit(-1).cast("long").alias("main"), F.lit(300).cast("long").alias("weight"), F.lit(250).cast("long").alias("left"), F.lit(40_000).cast("long").alias("often"))
+    began = time.perf_counter()
+    assert nd._reachable(rows).count() == 0
+    assert time.perf_counter() - began < 15
+
+
 def test_awkward_rows(messy, rows, nothing):
     got = nd.near_classes(messy).collect()
     assert len(got) == len(rows)
