@@ -1,10 +1,12 @@
 """Fixity audit of WARC replicas by Merkle trees.
 
-Records are hashed in the order of their offsets; FAN neighbours and the range
-of bytes they cover make a node of the level above, up to one root for each
-segment. Two replicas with equal roots are equal. Where roots differ, only the
-children of differing nodes are compared, level by level, until the damaged
-records are found.
+Records are hashed in the order of their offsets. A node of the level above is
+the hash of its FAN children's byte ranges (from the node's start) and
+digests, up to one root for each segment, so a record out of place changes the
+root as a damaged one does.
+Two replicas with equal roots are equal. Where roots differ, only the children
+of differing nodes are compared, level by level, until the damaged records are
+found.
 
 Segments are WARC files that Spark's text writer makes: a record ends in two
 line ends, which is the writer's separator. All hashing and comparing is
@@ -16,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, table
+from .common import let, scratch, stored, table
 
 FAN = 16
-#: Records of a segment, about.
-SEGMENT_RECORDS = 1_024
+#: Bytes of a segment's records, about.
+SEGMENT_BYTES = 1 << 21
+#: The date of capture where the pages have none.
+DATE = "1970-01-01T00:00:00Z"
 #: Levels above the records: FAN ** LEVELS records fit below one root, and fuller segments only have a wider root.
 LEVELS = 3
 END = "\r\n\r\n"
@@ -32,15 +36,25 @@ def segment_of(page_id: Column, url: Column, body: Column, segments: int) -> Col
     return F.pmod(F.conv(F.substring(F.md5(F.encode(whole, "utf-8")), 1, 8), 16, 10).cast("long"), F.lit(segments))
 
 
-def record_text(page_id: Column, url: Column, ordinal: Column, body: Column) -> Column:
-    """One record without its closing line ends. A body that holds a record's beginning travels in base64."""
-    unsafe = body.contains(END + MARK)
+def record_id(segment: Column, ordinal: Column) -> Column:
+    """A UUID of a record's place, which no other record has, also of pages that repeat."""
+    h = F.md5(F.encode(F.concat_ws("/", F.lit("warc"), segment.cast("string"), ordinal.cast("string")), "utf-8"))
+    return F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def record_text(page_id: Column, url: Column, segment: Column, ordinal: Column, body: Column, date: Column) -> Column:
+    """One record without its closing line ends. A body that holds or begins like a record's beginning travels in base64."""
+    unsafe = body.contains(END + MARK) | body.startswith(MARK)
     block = F.when(unsafe, F.base64(F.encode(body, "utf-8"))).otherwise(body)
     return F.concat(
-        F.lit(MARK + "WARC-Type: resource\r\nWARC-Record-ID: <urn:page:"),
-        F.coalesce(page_id.cast("string"), F.lit("null")),
-        F.lit(">\r\nWARC-Target-URI: "),
+        F.lit(MARK + "WARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:"),
+        record_id(segment, ordinal),
+        F.lit(">\r\nWARC-Date: "),
+        date,
+        F.lit("\r\nWARC-Target-URI: "),
         F.regexp_replace(url, r"[\r\n]", " "),
+        F.lit("\r\nWARC-Page-ID: "),
+        F.coalesce(page_id.cast("string"), F.lit("null")),
         F.lit("\r\nWARC-Record-Ordinal: "),
         ordinal.cast("string"),
         F.when(unsafe, F.lit("\r\nContent-Transfer-Encoding: base64")).otherwise(F.lit("")),
@@ -51,31 +65,44 @@ def record_text(page_id: Column, url: Column, ordinal: Column, body: Column) ->
     )
 
 
-def write_replica(pages: DataFrame, path: str, body: Column | None = None, keep: Column | None = None, segments: int | None = None) -> None:
+def segments_of(pages: DataFrame) -> int:
+    """As many segments as hold about SEGMENT_BYTES each."""
+    total = pages.agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)))).first()[0]
+    return max(1, -(-(total or 0) // SEGMENT_BYTES))
+
+
+def write_replica(pages: DataFrame, path: str, body: Column | None = None, keep: Column | None = None, segments: int | None = None, date: Column | None = None) -> None:
     """Writes the pages as segments of gzip-compressed WARC records in ascending page order.
 
     `body` replaces the stored page and `keep` leaves records out, both without
     any effect on the order: so a damaged replica can be made. A null page or
-    address counts as empty, a null id is written as null.
+    address counts as empty, a null id is written as null. Pages that repeat
+    are records of their own, in any order, as nothing tells them apart; an
+    empty table gives no segment; further columns are not read. `date` is the
+    capture's time (ISO 8601), DATE where there is none.
     """
     url, html = F.coalesce(F.col("url"), F.lit("")), F.coalesce(F.col("html"), F.lit(""))
-    segments = segments or max(1, -(-pages.count() // SEGMENT_RECORDS))
+    segments = segments or segments_of(pages)
     in_segment = Window.partitionBy("segment").orderBy("page_id", "url", "html")
-    rows = pages.select("page_id", url.alias("url"), html.alias("html"), segment_of(F.col("page_id"), url, html, segments).alias("segment"))
+    when = F.coalesce(date, F.lit(DATE)) if date is not None else F.lit(DATE)
+    rows = pages.select("page_id", url.alias("url"), html.alias("html"), when.alias("date"), segment_of(F.col("page_id"), url, html, segments).alias("segment"))
     rows = rows.withColumn("ordinal", F.row_number().over(in_segment) - 1)
     if keep is not None:
         rows = rows.filter(keep)
-    text = record_text(F.col("page_id"), F.col("url"), F.col("ordinal"), F.col("html") if body is None else body)
+    text = record_text(F.col("page_id"), F.col("url"), F.col("segment"), F.col("ordinal"), F.col("html") if body is None else body, F.col("date"))
     written = rows.select("segment", text.alias("value"), "ordinal").sortWithinPartitions("segment", "ordinal")
     written.select("segment", "value").write.partitionBy("segment").option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def read_replica(spark: SparkSession, path: str) -> DataFrame:
-    """segment, ordinal, page_id, length (bytes with the closing line ends), digest, intact (its length is the one it names), and body."""
+    """segment, ordinal, page_id, length (bytes with the closing line ends), digest, intact (its length is the one it names), and body.
+
+    Segments are the folders segment=N of write_replica; files in no such
+    folder are a segment for each file name (a hash of it). Records need their
+    ordinal's line; those without a legible one have a null ordinal.
+    """
     raw = spark.read.option("lineSep", END + MARK).text(path)
-    if "segment" not in raw.columns:  # a replica without any record has no segment
-        raw = raw.withColumn("segment", F.lit(None)).limit(0)
-    raw = raw.withColumn("segment", F.col("segment").cast("long"))
+    raw = raw.withColumn("segment", F.col("segment").cast("long") if "segment" in raw.columns else F.xxhash64("_metadata.file_name"))
     whole = F.concat(F.lit(MARK), F.regexp_replace("value", r"\AWARC/1\.1\r\n", ""))
     parts = raw.select("segment", whole.alias("record")).withColumn("cut", F.locate(END, "record"))
     head = F.substring("record", 1, F.col("cut"))
@@ -87,7 +114,7 @@ def read_replica(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(
         "segment",
         F.try_to_number(F.nullif(F.regexp_extract(head, r"WARC-Record-Ordinal: (\d+)", 1), F.lit("")), F.lit("999999999999")).cast("long").alias("ordinal"),
-        F.expr("try_cast(regexp_extract(record, '<urn:page:(-?[0-9]+)>', 1) as bigint)").alias("page_id"),
+        F.regexp_extract(head, r"WARC-Page-ID: (-?\d+)", 1).try_cast("long").alias("page_id"),
         (F.octet_length("record") + len(END)).cast("long").alias("length"),
         F.sha2("record", 256).alias("digest"),
         F.coalesce(named == F.octet_length(block), F.lit(False)).alias("intact"),
@@ -96,7 +123,16 @@ def read_replica(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tree(records: DataFrame) -> DataFrame:
-    """level, segment, node, digest, start, length: the records at level 0 and the nodes above them, all from one pass over the records' digests."""
+    """level, segment, node, digest, start, length: the records at level 0 and the nodes above them, all from one pass over the records' digests.
+
+    A node's digest covers the ranges of its children counted from its own
+    start: a record that is missing changes the nodes above it, and not those
+    that come after it.
+    """
+
+    def ranges(children: Column) -> Column:
+        return F.array_join(F.transform(children, lambda x: F.concat_ws(":", (x.start - F.get(children, F.lit(0)).start).cast("string"), x.length.cast("string"), x.digest)), ";")
+
     upto = Window.partitionBy("segment").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     level = records.filter("ordinal is not null").groupBy("segment", F.col("ordinal").alias("node")).agg(F.max(F.struct("digest", "length")).alias("r"))
     level = level.select("segment", "node", "r.digest", "r.length")
@@ -106,7 +142,9 @@ def tree(records: DataFrame) -> DataFrame:
     for n in range(1, LEVELS + 1):
         above = F.floor(F.col("node") / FAN) if n < LEVELS else F.lit(0).cast("long")
         level = level.groupBy("segment", above.alias("above")).agg(
-            F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "digest"))), lambda x: x.digest), ""), 256).alias("digest"), F.min("start").alias("start"), F.sum("length").alias("length")
+            F.sha2(let(F.sort_array(F.collect_list(F.struct("node", "start", "length", "digest"))), ranges), 256).alias("digest"),
+            F.min("start").alias("start"),
+            F.sum("length").alias("length"),
         )
         level = level.select(F.lit(n).alias("level"), "segment", F.col("above").alias("node"), "digest", "start", "length")
         whole = whole.unionByName(level)
@@ -160,25 +198,25 @@ def op6_warc_audit(spark, sf_dir: str) -> DataFrame:
     """A drill on all pages: a second replica loses pages whose id leaves 7 modulo 193 and damages those that leave 5 modulo 97; the audit has to find them."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path_a, path_b = scratch(spark, "warc-a"), scratch(spark, "warc-b")
-    segments = max(1, -(-pages.count() // SEGMENT_RECORDS))
+    segments = segments_of(pages)
     write_replica(pages, path_a, segments=segments)
     damaged = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
     write_replica(pages, path_b, body=damaged, keep=F.coalesce(F.col("page_id") % 193 != 7, F.lit(True)), segments=segments)
     return audit(spark, path_a, path_b)
 
 
-OP6_SQL = r"""
+OP6_SQL = rf"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
-n AS (SELECT greatest(1, CAST(ceil(count(*) / 1024.0) AS BIGINT)) AS segments FROM p),
+n AS (SELECT greatest(1, CAST(ceil(sum(strlen(html) + strlen(url)) / {SEGMENT_BYTES}.0) AS BIGINT)) AS segments FROM p),
 s AS (SELECT p.*, ('0x' || substr(md5(page_id || '|' || url || '|' || md5(html)), 1, 8))::BIGINT % segments AS segment FROM p, n),
 o AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY page_id, url, html) - 1 AS ordinal,
              CASE WHEN page_id % 97 = 5 THEN '~' || substr(html, 2) ELSE html END AS other FROM s),
+h AS (SELECT *, md5('warc/' || segment || '/' || ordinal) AS h, chr(13) || chr(10) AS nl FROM o),
 r AS (SELECT page_id, segment, ordinal,
-             'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
-             || chr(13) || chr(10) || 'WARC-Target-URI: ' || regexp_replace(url, '[\r\n]', ' ', 'g') || chr(13) || chr(10) || 'WARC-Record-Ordinal: ' || ordinal
-             || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head,
-             strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html AS tail,
-             strlen(other) || chr(13) || chr(10) || chr(13) || chr(10) || other AS tail_b FROM o),
+             'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:uuid:' || concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12)) || '>'
+             || nl || 'WARC-Date: {DATE}' || nl || 'WARC-Target-URI: ' || regexp_replace(url, '[\r\n]', ' ', 'g') || nl || 'WARC-Page-ID: ' || page_id || nl || 'WARC-Record-Ordinal: ' || ordinal
+             || nl || 'Content-Type: text/html' || nl || 'Content-Length: ' AS head,
+             strlen(html) || nl || nl || html AS tail, strlen(other) || nl || nl || other AS tail_b FROM h),
 d AS (SELECT *, strlen(head || tail) + 4 AS len, sha256(head || tail) AS sha256_a,
              CASE WHEN page_id % 193 = 7 THEN NULL ELSE sha256(head || tail_b) END AS sha256_b FROM r)
 SELECT page_id, segment, ordinal, CAST(sum(len) OVER (PARTITION BY segment ORDER BY ordinal) - len AS BIGINT) AS record_offset, CAST(len AS BIGINT) AS record_length,

@@ -1,4 +1,5 @@
 import math
+import re
 from collections import defaultdict
 
 import pytest
@@ -120,6 +121,37 @@ def test_audit_finds_exactly_the_damage(spark):
     assert other == {7: "missing_in_a", 600: "missing_in_a", 123: "corrupt"}
 
 
+def test_records_are_valid_and_told_apart(spark):
+    """Mandatory fields, no record id twice even for pages that repeat, a body that looks like a record, extra columns and a very long page."""
+    rows = [(1, "u", "x", "d"), (1, "u", "x", "d"), (2, "v", "WARC/1.1\r\nWARC-Type: resource\r\n\r\ny", "e"), (3, "w", "long é " * 60_000, "f"), (4, "x", None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, segment string")
+    path = scratch(spark, "test-warc")
+    warc_audit.write_replica(pages, path, segments=2)
+    got = warc_audit.read_replica(spark, path)
+    assert sorted((r.page_id, r.body) for r in got.collect()) == sorted((i, h or "") for i, _, h, _ in rows)
+    assert got.filter("not intact").isEmpty()
+    whole = "\r\n".join(r.value for r in spark.read.option("lineSep", "\r\n").text(path).collect())
+    ids = re.findall(r"WARC-Record-ID: <urn:uuid:([0-9a-f-]{36})>", whole)
+    assert len(ids) == len(set(ids)) == 5 and whole.count("WARC-Date: 1970-01-01T00:00:00Z") == 5
+
+
+def test_a_missing_record_changes_only_the_nodes_above_it(spark):
+    records = spark.range(600).select(F.lit(0).cast("long").alias("segment"), F.col("id").alias("ordinal"), F.sha2(F.col("id").cast("string"), 256).alias("digest"), (F.col("id") % 7 + 10).alias("length"))
+    one, two = warc_audit.tree(records), warc_audit.tree(records.filter("ordinal <> 300"))
+    both = one.select("level", "node", F.col("digest").alias("a")).join(two.select("level", "node", F.col("digest").alias("b")), ["level", "node"])
+    assert sorted((r.level, r.node) for r in both.filter("a <> b").collect()) == [(1, 300 // 16), (2, 300 // 256), (3, 0)]
+    moved = warc_audit.tree(records.withColumn("length", F.when(F.col("ordinal") == 5, F.col("length") + 1).otherwise(F.col("length"))))
+    assert moved.filter("level = 3").first().digest != one.filter("level = 3").first().digest
+
+
+def test_files_in_no_segment_folder_are_read(spark, tmp_path):
+    path = scratch(spark, "test-warc")
+    warc_audit.write_replica(spark.createDataFrame([(k, f"u{k}", f"page {k}") for k in range(9)], "page_id long, url string, html string"), path, segments=1)
+    spark.read.option("lineSep", warc_audit.END).text(f"{path}/segment=0").coalesce(1).write.option("lineSep", warc_audit.END).text(f"{tmp_path}/flat")
+    got = warc_audit.read_replica(spark, f"{tmp_path}/flat").collect()
+    assert len(got) == 9 and len({r.segment for r in got}) == 1 and all(r.intact for r in got)
+
+
 def test_audit_of_nothing(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     a = scratch(spark, "test-warc")
