@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -127,8 +128,8 @@ def decoded(ids: DataFrame, path: str, pattern: str) -> DataFrame:
     return ids.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: n_tokens, the SHA-256 of the decimal ids joined by one space, and that of the decoded bytes.
+def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """One row per document: n_tokens, the SHA-256 of the decimal ids joined by one space, and that of the decoded bytes; if asked for also the ids.
 
     Null counts as the empty text, which has no tokens; a null id stays null;
     repeated rows give repeated results; an empty table gives an empty one;
@@ -139,14 +140,19 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         coder = loaded(path, pattern)
         sha = hashlib.sha256
         for b in batches:
-            counts, of_ids, of_bytes = [], [], []
+            counts, of_ids, of_bytes, flat = [], [], [], array("i")
             for ids in map(coder.encode, b.column(1).to_pylist()):
                 counts.append(len(ids))
+                if keep_ids:
+                    flat.extend(ids)
                 of_ids.append(sha(" ".join(map(str, ids)).encode()).hexdigest())
                 of_bytes.append(sha(coder.decode_bytes(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [b.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+            if keep_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(counts)], pa.int32()), pa.array(flat, pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
-    return _slim(docs, key, text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _slim(docs, key, text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else ""))
 
 
 def _slim(docs: DataFrame, key: str, text: str) -> DataFrame:
