@@ -2,7 +2,14 @@
 
 Quality rules reject documents; exact and near duplicates leave one document
 of each group; mixing repeats documents of small sources until the weights are
-met and drops none; the last stage encodes every document.
+met, each at most REPEAT_LIMIT times, and drops none; the last stage encodes
+every document and keeps its ids.
+
+Null texts count as empty and are rejected by the first stage. Rows that
+repeat id and text leave as one; rows with a null id are kept like any other,
+unless an equal text has an id. A null source is a source of its own. Empty
+tables give empty ones at every stage, further columns pass through all but
+the last.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(docs, *bpe.public_coder())
+    return bpe.digests(docs, *bpe.public_coder(), keep_ids=True)
 
 
 STAGES = [
