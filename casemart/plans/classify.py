@@ -120,13 +120,9 @@ def topic(raw: Column) -> Column:
     return chain.otherwise(F.lit(config.TOPIC_OTHER))
 
 
-def reliable(id_column: str | None, value: Column) -> Column:
-    """1 where the id is a true complaint id: the column is the complaint hash and the value is not empty."""
-    from ..functions.text import key_of
-
-    if id_column is None or key_of(id_column) != "hash":
-        return F.lit(0).cast("long")
-    return F.coalesce((value != "").cast("long"), F.lit(0).cast("long"))
+def reliable(id_column: Column, value: Column) -> Column:
+    """1 where the id is a true complaint id: the column that holds it is the complaint hash and the value is not empty."""
+    return F.coalesce((tx.normal_key(id_column) == "hash") & (value != ""), F.lit(False)).cast("long")
 
 
 def summary(classified: DataFrame, top: int = 10) -> dict[str, DataFrame]:

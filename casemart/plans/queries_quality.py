@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import audit, harmonise, sampling
+from ..scratch import scratch
 from ..sources import files
 from ..streaming import ingest
 from .proxy import Book, table
@@ -15,14 +13,6 @@ from .proxy import Book, table
 BOOK = Book()
 
 
-def scratch(spark, name: str) -> str:
-    """A fresh path in the folder that driver and executors share; a local one only where the cluster names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-
-
 @BOOK.add("WITH o AS (SELECT *, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS s FROM orders) " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({e}) AS n_null, count(DISTINCT {e}) AS n_distinct FROM o" for c, e in (("o_orderkey", "o_orderkey"), ("o_custkey", "o_custkey"), ("o_orderstatus", "s"), ("o_orderpriority", "o_orderpriority"))))
 def null_profile(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("o_orderstatus"), "o_orderpriority")
@@ -52,19 +42,33 @@ def stratified_exact_sample(spark, sf_dir):
     return sampling.stratified(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", "event_id", 500)
 
 
-@BOOK.add("SELECT count(*) AS rows, count(DISTINCT sha256(s_suppkey || '|' || s_name || '|' || s_nationkey)) AS prints, min(sha256(s_suppkey || '|' || s_name || '|' || s_nationkey)) AS least FROM supplier")
-def row_fingerprint(spark, sf_dir):
-    row = F.sha2(F.concat_ws("|", "s_suppkey", "s_name", "s_nationkey"), 256)
-    return table(spark, sf_dir, "supplier").select(row.alias("p")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("p").alias("prints"), F.min("p").alias("least"))
+PRINTED = {
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "supplier": ("s_suppkey", "s_name", "s_nationkey"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"),
+    "events": ("event_id", "user_id", "event_type", "props"), "documents": ("doc_id", "text", "lang", "source", "n_chars"), "pages": ("page_id", "url", "html"), "benchmark": ("item_id", "text"), "labels": ("doc_id", "quality", "toxic"), "conversations": ("conv_id", "turn", "role", "text"), "embeddings": (),
+}
+
 
+def _print_sql(t: str, columns: tuple[str, ...]) -> str:
+    row = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns or ("1",)) + ")"
+    code = f"('0x' || substr(md5({row}), 1, 13))::BIGINT"
+    return f"SELECT '{t}' AS \"table\", count(*) AS rows, CAST(coalesce(bit_xor({code}), 0) AS BIGINT) AS \"xor\", CAST(coalesce(sum({code} % 2147483647), 0) AS BIGINT) AS \"sum\" FROM {t}"
 
-@BOOK.add()
+
+@BOOK.add(" UNION ALL ".join(_print_sql(t, c) for t, c in PRINTED.items()))
 def table_fingerprints(spark, sf_dir):
-    """Every table's print: rows and order-free sums of row hashes."""
-    frames = [audit.fingerprint(table(spark, sf_dir, t)).select(F.lit(t).alias("table"), "*") for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")]
+    """Every table's print over its whole numbers and texts: rows and order-free sums of row hashes. Of vectors only the rows count."""
+    frames = [audit.fingerprint(table(spark, sf_dir, t).select(*(c or (F.lit(1).alias("one"),)))).select(F.lit(t).alias("table"), "*") for t, c in PRINTED.items()]
     return harmonise.union_diagonal(frames)
 
 
+@BOOK.add(_print_sql("supplier", ("s_suppkey", "s_name", "s_nationkey")) + " WHERE s_suppkey % 7 = 3")
+def row_fingerprint(spark, sf_dir):
+    """The print of some rows is that of the same rows in any order and partitioning."""
+    rows = table(spark, sf_dir, "supplier").filter("s_suppkey % 7 = 3").select("s_suppkey", "s_name", "s_nationkey")
+    return audit.fingerprint(rows.repartition(5).orderBy(F.desc("s_name"))).select(F.lit("supplier").alias("table"), "*")
+
+
 @BOOK.add("""WITH b AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1) SELECT CAST(y + 10 AS BIGINT) AS ano, CAST(n AS BIGINT) AS value FROM b WHERE y <> 1997""")
 def banded_forward_fill(spark, sf_dir):
     """A sheet made of the orders: a heading for each year, a row for each of three states, totals with marks; one year's total is no number."""
@@ -78,22 +82,40 @@ def banded_forward_fill(spark, sf_dir):
     return files.banded(years.select(F.explode(rows).alias("r")).select("r.*"), "label", "total", "row")
 
 
-@BOOK.add("SELECT 'columns' AS check, true AS passed UNION ALL SELECT 'rows', true UNION ALL SELECT 'content', true")
+_CSV_SEGMENT = "CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN '\"' || c_mktsegment || '\"' ELSE c_mktsegment || ' é' END"
+
+
+@BOOK.add(f"SELECT CAST(c_custkey AS VARCHAR) AS codigo, c_name AS nome, {_CSV_SEGMENT} AS segmento, CASE WHEN c_custkey % 9 <> 0 AND c_custkey % 4 <> 0 THEN 'São ' || c_nationkey END AS lugar FROM customer")
 def csv_round_trip(spark, sf_dir):
-    """Writes customers as CSV with a semicolon, converts it to Parquet with all detection, and compares every row."""
+    """Customers as a Latin-1 file with semicolons, quotes that are data, short and long rows and null words; all is detected, converted to Parquet and compared, and the copy is read."""
     csv, out = scratch(spark, "round-csv"), scratch(spark, "round-parquet")
-    rows = harmonise.as_strings(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"))
-    rows.withColumnRenamed("c_name", "nome").write.options(header=True, sep=";").csv(csv)
-    return files.csv_to_parquet(spark, csv, out).select("check", "passed")
+    k = F.col("c_custkey")
+    segment = F.when(k % 5 == 0, "N/D").when(k % 3 == 0, F.concat(F.lit('"'), "c_mktsegment", F.lit('"'))).otherwise(F.concat("c_mktsegment", F.lit(" é")))
+    place = F.when(k % 4 == 0, "None").otherwise(F.concat(F.lit("São "), F.col("c_nationkey")))
+    line = F.when(k % 9 == 0, F.concat_ws(";", k, "c_name")).otherwise(F.concat_ws(";", k, "c_name", segment, place, F.when(k % 7 == 0, "one field too many")))
+    lines = table(spark, sf_dir, "customer").select(F.lit(1).alias("nth"), line.alias("value")).unionByName(spark.createDataFrame([(0, "codigo;nome;segmento;lugar")], "nth int, value string"))
+    lines.repartition(1).sortWithinPartitions("nth").select("value").write.option("encoding", "ISO-8859-1").text(csv)
+    files.csv_to_parquet(spark, csv, out)
+    return spark.read.parquet(out)
 
 
-@BOOK.add("SELECT count(*) AS files, true AS all_match FROM (SELECT DISTINCT o_orderstatus FROM orders)")
+@BOOK.add("SELECT 'o_orderstatus=' || o_orderstatus AS folder, CASE o_orderstatus WHEN 'F' THEN 'diverge' WHEN 'O' THEN 'absent' ELSE 'match' END AS status FROM orders GROUP BY o_orderstatus")
 def artefact_check(spark, sf_dir):
-    """Files of a partitioned write against their own prints."""
+    """Files of a partitioned write against the prints of an earlier one, in which one folder was damaged and one taken away since."""
     out = scratch(spark, "artefacts")
-    files.write_parquet(table(spark, sf_dir, "orders").repartition(1), out, ["o_orderstatus"])
-    prints = audit.file_fingerprints(spark, f"{out}/o_orderstatus=*", parts=2)
-    return audit.file_fingerprints(spark, f"{out}/o_orderstatus=*", prints, parts=2).agg(F.count(F.lit(1)).alias("files"), F.every(F.col("status") == "match").alias("all_match"))
+    files.write_parquet(table(spark, sf_dir, "orders"), out, ["o_orderstatus"])
+    prints = audit.file_fingerprints(spark, f"{out}/o_orderstatus=*", parts=2).persist()
+    prints.count()
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(out)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(jvm.org.apache.hadoop.fs.Path(root, "o_orderstatus=O"), True)
+    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "o_orderstatus=F/part-*")):
+        stream = fs.append(found.getPath()) if fs.getScheme() != "file" else fs.create(found.getPath(), True)
+        stream.write(0)
+        stream.close()
+    said = audit.file_fingerprints(spark, f"{out}/o_orderstatus=*", prints, parts=2)
+    return said.groupBy(F.substring_index("file", "/", 1).alias("folder")).agg(F.min("status").alias("status")).filter("status is not null")
 
 
 @BOOK.add("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY event_type")
@@ -109,5 +131,18 @@ def incremental_ingest(spark, sf_dir):
 
 @BOOK.add("SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS from_time, count(*) AS records, count(DISTINCT user_id) AS ids FROM events GROUP BY 1")
 def running_kpi(spark, sf_dir):
-    rows = ingest.running_kpi(table(spark, sf_dir, "events"), "ts", "7 days", "1 day", "user_id", approximate=False)
-    return rows.select(F.col("from_time").cast("timestamp_ntz").alias("from_time"), "records", "ids")
+    """The weeks of a whole table: ids are counted by week and id first, then by week, so a hot week lies in no single task."""
+    week = F.window(F.col("ts").cast("timestamp"), "7 days").start.cast("timestamp_ntz").alias("from_time")
+    one = table(spark, sf_dir, "events").groupBy(week, "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return one.groupBy("from_time").agg(F.sum("n").alias("records"), F.count("user_id").alias("ids"))
+
+
+@BOOK.add("SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS from_time, count(*) AS records, count(DISTINCT event_type) AS ids FROM events GROUP BY 1")
+def running_kpi_stream(spark, sf_dir):
+    """The same as a stream in two goes: state is kept between the runs, update mode hands on changed weeks, and the last word of each week counts."""
+    source, out, log = scratch(spark, "kpi-landing"), scratch(spark, "kpi-updates"), scratch(spark, "kpi-log")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    for part in (0, 1):
+        events.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(source)
+        ingest.run_kpi(spark, source, events.schema, "ts", "7 days", "400 days", "event_type", out, log).awaitTermination()
+    return ingest.latest(spark.read.parquet(out)).select(F.col("from_time").cast("timestamp_ntz").alias("from_time"), "records", "ids")

@@ -198,10 +198,9 @@ def label_mapping(spark, sf_dir):
     return table(spark, sf_dir, "region").select(labelled(F.col("r_name"), {"ASIA": "Ásia", "EUROPE": "Europa"}).alias("label"), "r_regionkey")
 
 
-@BOOK.add("SELECT event_type, k, count(*) AS n, CAST(sum(CAST(v AS BIGINT)) AS BIGINT) AS total FROM (SELECT event_type, unnest(json_keys(props)) AS k, json_extract_string(props, '$.' || unnest(json_keys(props))) AS v FROM events) GROUP BY ALL")
+@BOOK.add("SELECT k, count(*) AS n, CAST(sum(CAST(v AS BIGINT)) AS BIGINT) AS total FROM (SELECT unnest(json_keys(props)) AS k, json_extract_string(props, '$.' || unnest(json_keys(props))) AS v FROM events) GROUP BY ALL")
 def nested_json_map(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_type", F.explode(F.from_json("props", "map<string,bigint>")).alias("k", "v"))
-    return rows.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+    return files.json_map(table(spark, sf_dir, "events"), "props", "bigint", "k", "v").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
 
 
 @BOOK.add(r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title,
@@ -211,20 +210,33 @@ def page_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", title.alias("title"), F.coalesce(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1), F.lit("")).alias("host"), F.regexp_count("html", F.lit(r"(?i)<a\s[^>]*href=")).cast("long").alias("n_links"))
 
 
-@BOOK.add(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"'']+)["'']', 1)) AS href FROM pages) SELECT href, count(*) AS n, count(DISTINCT page_id) AS pages FROM l GROUP BY href""")
+_ANY_LINK = r"""(?is)<a[^>]+href=["']([^"']+)["']"""
+
+
+@BOOK.add(r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"'']+)["'']', 1) AS found FROM pages), u AS (SELECT page_id, unnest(found) AS href, generate_subscripts(found, 1) AS nth FROM l),
+b AS (SELECT *, regexp_replace(list_extract(string_split(regexp_replace(href, '/view$', ''), '/'), -1), '\.csv$', '') AS base_name FROM u) SELECT page_id, base_name, arg_min(href, nth) AS href FROM b GROUP BY page_id, base_name""")
 def page_links(spark, sf_dir):
-    found = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"""(?is)<a[^>]+href=["']([^"']+)["']"""), F.lit(1))).alias("href"))
-    return found.groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n")).groupBy("href").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pages"))
+    return files.links(table(spark, sf_dir, "pages"), pattern=_ANY_LINK)
+
 
+_VISIBLE = r"regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+_FIELDS = {"email": r"([\w\.-]+@[\w\.-]+\.\w+)", "telefone": files.UNIT_PATTERNS["telefone"], "endereco": files.UNIT_PATTERNS["endereco"]}
 
-@BOOK.add()
+
+@BOOK.add(f"WITH t AS (SELECT page_id, {_VISIBLE} AS t FROM pages) SELECT page_id, " + ", ".join(f"trim(regexp_replace(regexp_extract(t, '{p}', 1), '\\s+', ' ', 'g')) AS {n}" for n, p in _FIELDS.items()) + " FROM t")
 def page_fields(spark, sf_dir):
     """Mail address, phone and street of every page's visible text, where it has them."""
-    return files.page_records(table(spark, sf_dir, "pages"), patterns={"email": r"([\w\.-]+@[\w\.-]+\.\w+)", "telefone": files.UNIT_PATTERNS["telefone"], "endereco": files.UNIT_PATTERNS["endereco"]})
+    return files.page_records(table(spark, sf_dir, "pages"), patterns=_FIELDS)
 
 
-@BOOK.add("SELECT event_id, event_type || '/' || user_id AS label FROM events WHERE (contains(lower(event_type), 'c') OR contains(lower(props), '42')) AND user_id IN (1, 5, 9, 20, 33)")
+@BOOK.add("SELECT event_id, event_type || '/' || user_id AS label FROM events WHERE contains(lower(event_type), 'c') OR contains(lower(props), '42')")
 def text_search(spark, sf_dir):
-    """A literal search over several columns, without regard to case, within a list of users."""
-    rows = table(spark, sf_dir, "events").filter(F.col("user_id").isin(1, 5, 9, 20, 33))
+    """A literal search over several columns of all rows, without regard to case."""
+    rows = table(spark, sf_dir, "events")
     return rows.filter(tx.has_any(F.lower("event_type"), ["c"]) | tx.has_any(F.lower("props"), ["42"])).select("event_id", F.concat_ws("/", "event_type", "user_id").alias("label"))
+
+
+@BOOK.add("SELECT event_id, user_id FROM events WHERE user_id IN (1, 5, 9, 20, 33)")
+def chosen_ids(spark, sf_dir):
+    """The rows of chosen users, which is the feature."""
+    return table(spark, sf_dir, "events").filter(F.col("user_id").isin(1, 5, 9, 20, 33)).select("event_id", "user_id")

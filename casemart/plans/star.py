@@ -19,6 +19,21 @@ def municipalities(raw: DataFrame, population: DataFrame) -> DataFrame:
     return raw.join(population.select("ibge_code", F.col("populacao").cast("long").alias("populacao_censo_2022")), "ibge_code", "left")
 
 
+#: Rows of a file that one task numbers.
+BLOCK = 1 << 20
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds _nth, the row's number in its file. Blocks of a file are counted first, so each is numbered on its own and no task holds a whole file."""
+    block = F.floor(F.col("row_index") / BLOCK)
+    here = ["arquivo_origem", "part_file", "_block"]
+    earlier = Window.partitionBy("arquivo_origem").orderBy("part_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("arquivo_origem", "part_file", block.alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(*here, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    in_block = Window.partitionBy(*here).orderBy("row_index")
+    return rows.withColumn("_block", block).withColumn("_nth", F.row_number().over(in_block)).join(starts, here).withColumn("_nth", F.col("_nth") + F.col("_start")).drop("_block", "_start")
+
+
 def build_fact(raw: DataFrame, dim: DataFrame, state: str = config.STATE) -> DataFrame:
     """The fact of canonical raw rows (`files.read_period_files`): state filter, both classifiers, municipality, reliable flag, row id.
 
@@ -26,9 +41,7 @@ def build_fact(raw: DataFrame, dim: DataFrame, state: str = config.STATE) -> Dat
     small dimension. Row numbers count the state's rows of a file in the
     file's own order, so they are the same at any partitioning.
     """
-    rows = raw.filter(F.upper(F.btrim("uf")) == state)
-    in_file = Window.partitionBy("arquivo_origem").orderBy("row_index")
-    rows = rows.withColumn("_nth", F.row_number().over(in_file))
+    rows = numbered(raw.filter(F.upper(F.btrim("uf")) == state))
     names = dim.select(tx.normal_key(F.col("municipio_nome")).alias("_key"), F.col("ibge_code").alias("_named")).dropDuplicates(["_key"])
     coded = rows.withColumn("_own", tx.municipality_code(F.col("municipio"))).withColumn("_key", tx.municipality_key(F.col("municipio"))).join(names, "_key", "left")
     coded = coded.withColumn("ibge_code", F.coalesce("_own", "_named", F.lit(config.SENTINEL_CODE)))
@@ -37,8 +50,7 @@ def build_fact(raw: DataFrame, dim: DataFrame, state: str = config.STATE) -> Dat
         {"municipio_nome": F.coalesce("municipio_nome", F.lit(config.UNKNOWN_NAME)), "regiao_intermediaria": F.coalesce("regiao_intermediaria", F.lit(config.OTHER_REGION)), "regiao_imediata": F.coalesce("regiao_imediata", F.lit(config.OTHER_REGION))}
     )
     done = classify.groups(classify.penal(placed))
-    is_hash = tx.normal_key(F.col("id_column")) == "hash"
-    reliable = F.coalesce(is_hash & (F.col("id_denuncia") != ""), F.lit(False)).cast("long")
+    reliable = classify.reliable(F.col("id_column"), F.col("id_denuncia"))
     return done.select(
         F.concat_ws("_", "ano", "semestre", "_nth").alias("id_fato"), "ano", "semestre", "arquivo_origem", F.nullif("id_denuncia", F.lit("")).alias("id_denuncia"), reliable.alias("grain_denuncia_confiavel"),
         "ibge_code", "municipio_nome", "regiao_intermediaria", "regiao_imediata", "indicio_penal", "categoria_penal", "grau_certeza", "orgao_prioritario", "fundamentacao_legal", "grupo_primario",

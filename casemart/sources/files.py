@@ -24,8 +24,8 @@ def period_of(name: str) -> tuple[int | None, int]:
 
 
 def with_period(df: DataFrame) -> DataFrame:
-    """Adds arquivo_origem, ano, semestre from the file that each row comes from."""
-    name = F.col("_metadata.file_name")
+    """Adds arquivo_origem, ano, semestre from the file that each row comes from; a file that Spark wrote (part-...) goes by its folder."""
+    name = F.when(F.col("_metadata.file_name").startswith("part-"), F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1)).otherwise(F.col("_metadata.file_name"))
     half = F.when(name.contains("primeiro-semestre"), 1).when(name.contains("segundo-semestre"), 2).otherwise(0)
     return df.select("*", name.alias("arquivo_origem"), F.nullif(F.regexp_extract(name, r"(20\d\d)", 1), F.lit("")).cast("long").alias("ano"), half.cast("long").alias("semestre"))
 
@@ -39,13 +39,13 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
 
 
 def read_period_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """All files that match, each with its own schema, as one canonical frame with id_column, ano, semestre and row_index."""
+    """All files (or folders of one file's parts) that match, each with its own schema, as one canonical frame with id_column, ano, semestre, part_file and row_index."""
     frames = []
     for path in list_files(spark, pattern):
         raw = spark.read.parquet(path)
         r = resolve(raw.columns)
-        rows = with_period(raw).select("*", F.col("_metadata.row_index").alias("row_index"))
-        frames.append(canonical(rows, r, ("arquivo_origem", "ano", "semestre", "row_index")).withColumn("id_column", F.lit(r.found.get("id_denuncia")).cast("string")))
+        rows = with_period(raw).select("*", F.col("_metadata.file_name").alias("part_file"), F.col("_metadata.row_index").alias("row_index"))
+        frames.append(canonical(rows, r, ("arquivo_origem", "ano", "semestre", "part_file", "row_index")).withColumn("id_column", F.lit(r.found.get("id_denuncia")).cast("string")))
     if not frames:
         raise FileNotFoundError(pattern)
     return reduce(DataFrame.unionByName, frames)
@@ -60,11 +60,18 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
 
 
 def detect_encoding(spark: SparkSession, path: str, probe: int = 256 * 1024) -> str:
-    """UTF-8 if the first bytes are that, else Latin-1. A character that the probe cuts does not count."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, probe).alias("b")).first()
-    if head is None:
+    """UTF-8 if the first bytes are that, else Latin-1. A character that the probe cuts does not count. Only the head of the first file is read."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x for x in fs.globStatus(jvm.org.apache.hadoop.fs.Path(where, "*") if fs.isDirectory(where) else where) or [] if x.isFile() and x.getLen() and not x.getPath().getName().startswith(("_", "."))]
+    if not found:
         return "UTF-8"
-    raw = bytes(head[0])
+    stream = fs.open(found[0].getPath())
+    try:
+        raw = bytes(stream.readNBytes(probe))
+    finally:
+        stream.close()
     for cut in range(4):
         try:
             raw[: len(raw) - cut].decode("utf-8")

@@ -35,3 +35,26 @@ def running_kpi(events: DataFrame, time: str, window: str, late: str, id_: str,
     timed = events.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)
     ids = F.approx_count_distinct(id_) if approximate else F.size(F.collect_set(id_)).cast("long")
     return timed.groupBy(F.window("_t", window).alias("w")).agg(F.count(F.lit(1)).alias("records"), ids.alias("ids")).select(F.col("w.start").alias("from_time"), F.col("w.end").alias("to_time"), "records", "ids")
+
+
+def run_kpi(spark: SparkSession, source: str, schema, time: str, window: str, late: str, id_: str, out: str, checkpoint: str, approximate: bool = False, fmt: str = "parquet") -> StreamingQuery:
+    """Updates of `running_kpi` over the files that are new since the last run, appended with their batch's number; ends when all are done.
+
+    The state of open windows lies in the checkpoint, so a run goes on where
+    the last one ended. Rows later than the watermark of earlier batches are
+    dropped, as their windows are closed. A batch that is run again after a
+    failure appends the same rows once more, which `latest` takes as one.
+    """
+    updates = running_kpi(spark.readStream.schema(schema).format(fmt).load(source), time, window, late, id_, approximate)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(out)
+
+    return updates.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(updates: DataFrame) -> DataFrame:
+    """Of every window the row of its last batch."""
+    columns = [c for c in updates.columns if c not in ("from_time", "batch")]
+    last = updates.groupBy("from_time").agg(F.max_by(F.struct(*columns), "batch").alias("r"))
+    return last.select("from_time", "r.*")
