@@ -39,11 +39,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables of stored() that nothing reads any more: whatever was made of them is stored itself."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame | str, spark: SparkSession | None = None) -> None:
+    """Deletes tables of stored(), or paths, that nothing reads any more: whatever was made of them is stored itself.
+
+    Spark frees the shuffle files of finished queries when the driver collects
+    its garbage, so it is asked to.
+    """
+    spark = spark or tables[0].sparkSession
+    for table_ in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table_ if isinstance(table_, str) else table_.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
