@@ -29,8 +29,8 @@ def key_of(name: str | None) -> str:
 
 
 def fold(c: Column) -> Column:
-    """Without accents, within Latin letters; combining marks go too."""
-    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{M}+", "")
+    """Without accents, within Latin letters; combining marks go too. A value of as many bytes as characters has neither."""
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{M}+", ""))
 
 
 def normal_key(c: Column) -> Column:
@@ -40,12 +40,17 @@ def normal_key(c: Column) -> Column:
 
 def clean(c: Column) -> Column:
     """Upper case and trimmed, or empty where the value says that nothing is known. Never null."""
-    s = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"^\s+|\s+$", "")
+    s = F.btrim(F.coalesce(c.cast("string"), F.lit("")), F.lit(" \t\n\x0b\f\r"))
     key = normal_key(s)
     nothing = key.isin(*config.NULL_TOKENS)
     for prefix in config.NULL_PREFIXES:
         nothing = nothing | key.startswith(prefix)
-    return F.when(nothing, F.lit("")).otherwise(F.upper(s))
+    # most values begin with a letter or digit that no such word begins with, and need no key
+    return F.when(F.lower(F.substring(s, 1, 1)).isin(*SAYING) | ~nothing, F.upper(s)).otherwise(F.lit(""))
+
+
+#: ASCII letters and digits that begin no word for nothing.
+SAYING = sorted(set("abcdefghijklmnopqrstuvwxyz0123456789") - {w[0] for w in (*config.NULL_TOKENS, *config.NULL_PREFIXES) if w})
 
 
 def join_filled(*columns: Column, sep: str = " ; ") -> Column:

@@ -9,25 +9,23 @@ from .. import config
 from ..functions import text as tx
 
 
-def verdict(rule: config.Rule, penal: int, by_text: int, category: Column | None = None) -> Column:
-    return F.struct(
-        F.lit(penal).cast("long").alias("indicio_penal"),
-        F.lit(by_text).cast("long").alias("indicio_penal_texto"),
-        (F.lit(rule.category) if category is None else category).alias("categoria_penal"),
-        F.lit(rule.degree).alias("grau_certeza"),
-        F.lit(rule.articles).alias("fundamentacao_legal"),
-        F.lit(rule.agency).alias("orgao_prioritario"),
-    )
+#: Every verdict, the taxonomy first; a record's verdict is a number in this list until its columns are read off.
+VERDICTS = (*config.TAXONOMY, config.PSYCHOLOGICAL_ELDERLY, config.PSYCHOLOGICAL_WOMAN, config.REINFORCED, config.SOCIAL)
+ELDERLY, WOMAN, REINFORCED, SOCIAL = range(len(config.TAXONOMY), len(VERDICTS))
 
 
 def first_match(text: Column, rules=config.TAXONOMY) -> Column:
-    """The verdict of the first rule with a term in the text, else null. The order of the rules decides."""
+    """The number of the first rule with a term in the text, else null. The order of the rules decides."""
     chain = F
-    for r in rules:
-        chain = chain.when(tx.has_any(text, r.terms), verdict(r, 1, 1))
+    for n, r in enumerate(rules):
+        chain = chain.when(tx.has_any(text, r.terms), F.lit(n))
     return chain.otherwise(F.lit(None))
 
 
+def of_verdict(number: Column, field: str) -> Column:
+    return F.element_at(F.array(*[F.lit(getattr(v, field)) for v in VERDICTS]), number + 1)
+
+
 def reinforcement(field) -> Column:
     """The first reinforcement signal; field(name) gives the cleaned value of a canonical field."""
     chain = F
@@ -56,13 +54,22 @@ def penal(df: DataFrame) -> DataFrame:
     reinforced = F.col("motivo_reforco") != config.NO_REINFORCEMENT
     decided = F.coalesce(
         first_match(text),
-        F.when(psychological & tx.has_any(group, ("IDOSA", "IDOSO")), verdict(config.PSYCHOLOGICAL_ELDERLY, 1, 1)),
-        F.when(psychological & (group.contains("MULHER") | gender.contains("FEMIN") | (gender == "F")), verdict(config.PSYCHOLOGICAL_WOMAN, 1, 1)),
-        F.when(reinforced, verdict(config.REINFORCED, 1, 0, F.concat(F.lit(config.REINFORCED.category), F.col("motivo_reforco")))),
-        verdict(config.SOCIAL, 0, 0),
+        F.when(psychological & tx.has_any(group, ("IDOSA", "IDOSO")), ELDERLY),
+        F.when(psychological & (group.contains("MULHER") | gender.contains("FEMIN") | (gender == "F")), WOMAN),
+        F.when(reinforced, REINFORCED),
+        F.lit(SOCIAL),
     )
-    columns = ("indicio_penal", "indicio_penal_texto", "categoria_penal", "grau_certeza", "fundamentacao_legal", "orgao_prioritario")
-    done = cleaned.withColumn("_verdict", decided).withColumns({c: F.col("_verdict")[c] for c in columns})
+    n = F.col("_verdict")
+    category = of_verdict(n, "category")
+    columns = {
+        "indicio_penal": (n != SOCIAL).cast("long"),
+        "indicio_penal_texto": (n < REINFORCED).cast("long"),
+        "categoria_penal": F.when(n == REINFORCED, F.concat(category, F.col("motivo_reforco"))).otherwise(category),
+        "grau_certeza": of_verdict(n, "degree"),
+        "fundamentacao_legal": of_verdict(n, "articles"),
+        "orgao_prioritario": of_verdict(n, "agency"),
+    }
+    done = cleaned.withColumn("_verdict", decided).withColumns(columns)
     return done.withColumn("indicio_penal_reforco", reinforced.cast("long")).drop("_verdict", *[f"_{n}" for n in names])
 
 
