@@ -69,13 +69,17 @@ class Encoder:
             spec["normalizer"] == NORMALISED and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": SPLIT} and spec["model"]["type"] == "BPE"
             and not (spec["post_processor"] or spec["truncation"] or spec["padding"]) and not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in added)
         )
-        model = self.tokenizer.model
-        self.pieces = Remembered(lambda piece: packed([t.id for t in model.tokenize(spelt(piece.encode()))]))
-        self.chunks = Remembered(self.chunk)
+        self.merge = self.tokenizer.model.tokenize
+        self.pieces = Remembered(self.piece, 150_000)
+        self.chunks = Remembered(self.chunk, 300_000)
 
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def piece(self, piece: str) -> bytes:
+        # printable ASCII stands for itself
+        return packed([t.id for t in self.merge(piece if piece.isascii() else spelt(piece.encode()))])
+
     def chunk(self, chunk: str) -> bytes:
         word = chunk if chunk.isalpha() else chunk[:-1]
         if word.isascii() and word.isalpha() and (word is chunk or chunk[-1] in STOPS):
