@@ -55,20 +55,68 @@ def floor_sensitivity(df: DataFrame, floors: list[int], metric: str, population:
     return pairs.groupBy("floor").agg(F.count(F.lit(1)).alias("n"), F.max_by(name, F.struct(metric, name)).alias("leader"), F.max(metric).alias("value"))
 
 
-def nearest(points: DataFrame, facilities: DataFrame, key: str, lat: str, lng: str, f_key: str, f_lat: str, f_lng: str, most_facilities: int = 10_000) -> DataFrame:
-    """points with f_key and km of the nearest facility, null where a point has no coordinates.
+#: Facilities that travel to every point as one array; more are found by cells.
+AS_ARRAY = 256
+#: Sizes of cells, halved from the whole globe on; the smallest are about 200 m wide.
+LEVELS = 16
 
-    The facilities are broadcast as one array after their number was checked,
-    so every point finds its nearest in place and no pair of rows is made.
+
+def nearest(points: DataFrame, facilities: DataFrame, key: str, lat: str, lng: str, f_key: str, f_lat: str, f_lng: str, as_array: int = AS_ARRAY) -> DataFrame:
+    """points (one row a key) with f_key and km of the nearest facility, of equally near ones the smallest f_key; null where a point has no coordinates.
+
+    Up to `as_array` facilities, which is checked, are broadcast as one array,
+    so every point finds its nearest in place; more are dealt out by cells.
     """
     from ..functions.geo import haversine_km
 
     usable = facilities.filter(F.col(f_lat).isNotNull() & F.col(f_lng).isNotNull()).select(F.col(f_key).alias("k"), F.col(f_lat).cast("double").alias("lat"), F.col(f_lng).cast("double").alias("lng"))
-    n = usable.limit(most_facilities + 1).count()
-    if n > most_facilities:
-        raise ValueError(f"more than {most_facilities} facilities: deal points and facilities out by grid cells instead")
+    if usable.limit(as_array + 1).count() > as_array:
+        placed = points.select(F.col(key).alias("_key"), F.col(lat).cast("double").alias("_lat"), F.col(lng).cast("double").alias("_lng")).dropna()
+        best = nearest_by_cells(placed, usable)
+        return points.join(best, F.col(key) == F.col("_key"), "left").drop("_key").withColumnRenamed("_k", f_key)
     one = usable.agg(F.sort_array(F.collect_list(F.struct("k", "lat", "lng"))).alias("_all"))
     with_all = points.crossJoin(F.broadcast(one))
     measured = F.transform("_all", lambda f: F.struct(haversine_km(F.col(lat), F.col(lng), f.lat, f.lng).alias("km"), f.k.alias("k")))
     best = F.when(F.col(lat).isNotNull() & F.col(lng).isNotNull(), F.array_min(measured))
     return with_all.withColumn("_best", best).withColumns({f_key: F.col("_best.k"), "km": F.col("_best.km")}).drop("_all", "_best")
+
+
+def nearest_by_cells(points: DataFrame, facilities: DataFrame) -> DataFrame:
+    """_key, _k, km of the nearest facility (k, lat, lng) of every point (_key, _lat, _lng), exactly and without a product of the two.
+
+    Places are points of the unit sphere in cubic cells of many sizes, so
+    neither poles nor the date line matter. One facility of the smallest cell
+    around a point that has any bounds the distance; cells that are at least as
+    wide as the bound then hold all nearer facilities in the point's own cell
+    and the 26 around it.
+    """
+    from ..functions.geo import haversine_km
+
+    def sphere(df: DataFrame, la: str, lo: str) -> DataFrame:
+        a, b = F.radians(la), F.radians(lo)
+        return df.withColumns({"x": F.cos(a) * F.cos(b), "y": F.cos(a) * F.sin(b), "z": F.sin(a)})
+
+    def cell(c: str, level: Column) -> Column:
+        return F.floor((F.col(c) + 1) * F.pow(F.lit(2.0), level - 1))
+
+    at = ["level", "cx", "cy", "cz"]
+    axes = ("x", "y", "z")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")
+
+    def in_cells(df: DataFrame) -> DataFrame:
+        return df.select("*", levels).withColumns({f"c{c}": cell(c, F.col("level")) for c in axes})
+
+    units = in_cells(sphere(facilities, "lat", "lng"))
+    some = units.groupBy(*at).agg(F.min(F.struct("k", "x", "y", "z")).alias("one"))
+    placed = sphere(points, "_lat", "_lng")
+    chord = F.sqrt(sum((F.pow(F.col(c) - F.col(f"one.{c}"), 2) for c in axes[1:]), F.pow(F.col("x") - F.col("one.x"), 2)))
+    bound = in_cells(placed).join(some, at).groupBy("_key", "_lat", "_lng", *axes).agg(F.min(chord).alias("bound"))
+    # a little more than the bound, as sums round
+    level = F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor(F.log2(F.lit(2.0) / (F.col("bound") * 1.0001 + 1e-9))))).cast("int")
+    around = F.sequence(F.lit(-1), F.lit(1))
+    near = bound.withColumn("level", level)
+    for c in axes:
+        near = near.withColumn(f"d{c}", F.explode(around)).withColumn(f"c{c}", cell(c, F.col("level")) + F.col(f"d{c}"))
+    found = near.select("_key", "_lat", "_lng", *at).join(units.select(*at, "k", "lat", "lng"), at)
+    km = haversine_km(F.col("_lat"), F.col("_lng"), F.col("lat"), F.col("lng"))
+    return found.groupBy("_key").agg(F.min(F.struct(km.alias("km"), "k")).alias("b")).select("_key", F.col("b.k").alias("_k"), "b.km")

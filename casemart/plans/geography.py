@@ -55,6 +55,18 @@ def peaks(rows: DataFrame, topics: dict[str, Column], facilities: DataFrame, nam
     return {"peaks": near, "clusters": rank.clusters(top, region, "lat", "lng", name)}
 
 
+def dynamic_peaks(rows: DataFrame, topics: dict[str, str], facilities: DataFrame, name: str, region: str, regions: tuple = (), metric: str = "rate", scale: int = config.RATE_SCALE, n: int = 10, population: str = "population") -> dict[str, DataFrame]:
+    """`peaks` of count columns as a user asks for them: in all or some regions, by rate at a scale or by volume."""
+    if metric not in ("rate", "volume"):
+        raise ValueError(metric)
+    chosen = rows.filter(F.col(region).isin(*regions)) if regions else rows
+
+    def value(c: str) -> Column:
+        return F.when(F.col(population) > 0, F.round(F.col(c) / F.col(population) * scale, 4)) if metric == "rate" else F.col(c)
+
+    return peaks(chosen, {t: value(c) for t, c in topics.items()}, facilities, name, region, n)
+
+
 def missing_fields(inventories: DataFrame) -> DataFrame:
     """file and its missing fields, joined for display."""
     known = F.array(*map(F.lit, sorted(config.ALIASES)))

@@ -162,7 +162,10 @@ def reconcile_three_paths(spark, sf_dir):
     rows = fact(spark, sf_dir)
     total = rows.agg(F.count(F.lit(1)).alias("records"), F.count_if("penal").alias("penal"))
     sums = [F.sum("records").alias("records"), F.sum("penal").alias("penal")]
-    return audit.reconcile(fact=total, territory=grains(rows, ["territory"]).agg(*sums), attributed=grains(rows.filter("territory <> 7"), ["ano", "semestre", "territory"]).agg(*sums))
+    # the paths differ in their tables; each of these is the sum of one table's rows
+    by_territory = rows.groupBy("territory").agg(F.count(F.lit(1)).alias("records"), F.count_if("penal").alias("penal"))
+    by_period = rows.filter("territory <> 7").groupBy("ano", "semestre", "territory").agg(F.count(F.lit(1)).alias("records"), F.count_if("penal").alias("penal"))
+    return audit.reconcile(fact=total, territory=by_territory.agg(*sums), attributed=by_period.agg(*sums))
 
 
 @BOOK.add(FACT + """, y AS (SELECT ano, count(*) AS records, count_if(penal) AS penal FROM fact GROUP BY ano HAVING ano < 2001)
@@ -263,6 +266,15 @@ def official_validation(spark, sf_dir):
     return audit.against_official(own, official)
 
 
+@BOOK.add(FACT + """, o AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS ano, count(*) AS official FROM orders GROUP BY 1), w AS (SELECT ano, count(DISTINCT CASE WHEN reliable THEN id END) AS own FROM fact WHERE ano < 2000 GROUP BY 1)
+SELECT ano, official, own, round(own / official, 4) AS ratio FROM o LEFT JOIN w USING (ano)""")
+def official_validation_left(spark, sf_dir):
+    """Official years without own records stay."""
+    official = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").cast("long").alias("ano")).agg(F.count(F.lit(1)).alias("official"))
+    own = grains(fact(spark, sf_dir).filter("ano < 2000"), ["ano"]).select("ano", F.col("complaints").alias("own"))
+    return audit.against_official(own, official, how="left")
+
+
 @BOOK.add(FACT + "SELECT territory, count(*) AS records, 0 AS distance_missing FROM fact GROUP BY territory HAVING count(*) >= 100")
 def having_with_default(spark, sf_dir):
     rows = fact(spark, sf_dir).groupBy("territory").agg(F.count(F.lit(1)).alias("records")).filter("records >= 100")

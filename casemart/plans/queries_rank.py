@@ -88,14 +88,14 @@ def table_filters(spark, sf_dir):
 
 _KM = "2 * 6371.0 * atan2(sqrt({a}), sqrt(1 - ({a})))".replace("{a}", "pow(sin(radians(flat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(flat)) * pow(sin(radians(flng - lng) / 2), 2)")
 _NEAR = f"""WITH p AS (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE CAST(c_custkey * 37 % 1000 / 100.0 - 5 AS DOUBLE) END AS lat, CAST(c_custkey * 91 % 1000 / 100.0 - 5 AS DOUBLE) AS lng FROM customer),
-f AS (SELECT s_suppkey, CAST(s_suppkey * 53 % 1000 / 100.0 - 5 AS DOUBLE) AS flat, CAST(s_suppkey * 29 % 1000 / 100.0 - 5 AS DOUBLE) AS flng FROM supplier WHERE s_suppkey <= 30),
+f AS (SELECT s_suppkey, CAST(s_suppkey * 53 % 1000 / 100.0 - 5 AS DOUBLE) AS flat, CAST(s_suppkey * 29 % 1000 / 100.0 - 5 AS DOUBLE) AS flng FROM supplier),
 d AS (SELECT c_custkey, s_suppkey, {_KM} AS km, row_number() OVER (PARTITION BY c_custkey ORDER BY {_KM}, s_suppkey) AS r FROM p, f WHERE lat IS NOT NULL),
 n AS (SELECT p.c_custkey, c_acctbal, s_suppkey, km, CASE WHEN km IS NULL THEN 'unknown' WHEN km < 25 THEN 'near' WHEN km <= 50 THEN 'middle' ELSE 'far' END AS band FROM p LEFT JOIN (SELECT * FROM d WHERE r = 1) q ON p.c_custkey = q.c_custkey) """
 
 
 def nearest(spark, sf_dir):
     points = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.when(F.col("c_custkey") % 50 != 0, (F.col("c_custkey") * 37 % 1000 / 100.0 - 5).cast("double")).alias("lat"), (F.col("c_custkey") * 91 % 1000 / 100.0 - 5).cast("double").alias("lng"))
-    facilities = table(spark, sf_dir, "supplier").filter("s_suppkey <= 30").select("s_suppkey", (F.col("s_suppkey") * 53 % 1000 / 100.0 - 5).cast("double").alias("flat"), (F.col("s_suppkey") * 29 % 1000 / 100.0 - 5).cast("double").alias("flng"))
+    facilities = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 53 % 1000 / 100.0 - 5).cast("double").alias("flat"), (F.col("s_suppkey") * 29 % 1000 / 100.0 - 5).cast("double").alias("flng"))
     found = rank.nearest(points, facilities, "c_custkey", "lat", "lng", "s_suppkey", "flat", "flng")
     return found.withColumn("band", m.distance_band(F.col("km")))
 
@@ -152,18 +152,46 @@ def first_year_by_module(spark, sf_dir):
     return found.select("module", "first_year", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"))
 
 
-_FACILITY = "SELECT CAST(s_suppkey AS VARCHAR) AS sigla, CAST(s_suppkey * 53 % 80 - 40 AS DOUBLE) AS flat, CAST(s_suppkey * 29 % 100 - 50 AS DOUBLE) AS flng FROM supplier WHERE s_suppkey <= 30"
+_FACILITY = "SELECT CAST(s_suppkey AS VARCHAR) AS sigla, CAST(s_suppkey * 53 % 80 - 40 AS DOUBLE) AS flat, CAST(s_suppkey * 29 % 100 - 50 AS DOUBLE) AS flng FROM supplier"
+
+
+def _units(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("sigla"), (F.col("s_suppkey") * 53 % 80 - 40).cast("double").alias("lat"), (F.col("s_suppkey") * 29 % 100 - 50).cast("double").alias("lon"))
+
+
+@BOOK.add(T + f""", f AS ({_FACILITY}), c AS (SELECT topic, territory_name, lat, lng, value, row_number() OVER (PARTITION BY topic ORDER BY value DESC NULLS LAST, territory_name) AS rank
+FROM (SELECT *, unnest(['mulher', 'idoso']) AS topic, unnest([round(is_mulher / nullif(population, 0) * 100000, 4), round(is_idoso / nullif(population, 0) * 100000, 4)]) AS value FROM terr WHERE region IN (1, 2))),
+d AS (SELECT c.*, sigla, {_KM} AS km, row_number() OVER (PARTITION BY topic, rank ORDER BY {_KM}, sigla) AS nth FROM c, f WHERE rank <= 3 AND flat <> 0 AND flng <> 0) SELECT topic, CAST(rank AS BIGINT) AS rank, territory_name, value, sigla AS nearest, round(km, 4) AS km FROM d WHERE nth = 1""")
+def dynamic_peaks(spark, sf_dir):
+    """Peaks of chosen groups in chosen regions, per 100,000 inhabitants."""
+    rows = territories(spark, sf_dir).filter("population is null or population >= 0")
+    found = geography.dynamic_peaks(rows, {"mulher": "is_mulher", "idoso": "is_idoso"}, _units(spark, sf_dir), "territory_name", "region", regions=(1, 2), metric="rate", scale=100_000, n=3)["peaks"]
+    return found.select("topic", F.col("rank").cast("long").alias("rank"), "territory_name", "value", "nearest", F.round("km", 4).alias("km"))
 
 
 @BOOK.add(_RANKED + f", f AS ({_FACILITY}), d AS (SELECT topic, rank, territory_name, value, sigla, {_KM} AS km, row_number() OVER (PARTITION BY topic, rank ORDER BY {_KM}, sigla) AS nth FROM r, f WHERE flat <> 0 AND flng <> 0) SELECT topic, rank, territory_name, value, sigla AS nearest, round(km, 4) AS km FROM d WHERE nth = 1")
 def peaks_with_facility(spark, sf_dir):
     """Every topic's ten peaks with the nearest facility that has coordinates."""
-    units = table(spark, sf_dir, "supplier").filter("s_suppkey <= 30").select(F.col("s_suppkey").cast("string").alias("sigla"), (F.col("s_suppkey") * 53 % 80 - 40).cast("double").alias("lat"), (F.col("s_suppkey") * 29 % 100 - 50).cast("double").alias("lon"))
+    units = _units(spark, sf_dir)
     values = {f[3:]: F.when(F.col("population") > 0, F.round(F.col(f) / F.col("population") * 10_000, 4)) for f in FLAGS}
     found = geography.peaks(territories(spark, sf_dir), values, units, "territory_name", "region")["peaks"]
     return found.select("topic", F.col("rank").cast("long").alias("rank"), "territory_name", "value", "nearest", F.round("km", 4).alias("km"))
 
 
+@BOOK.add(f"""WITH m AS (SELECT n_nationkey, n_name, CAST(n_nationkey * 3 % 40 - 54 AS DOUBLE) AS lng, CAST(n_nationkey * 2 % 30 - 29 AS DOUBLE) AS lat FROM nation WHERE n_nationkey <> 5), f AS ({_FACILITY}),
+d AS (SELECT n_name, sigla, {_KM} AS km, row_number() OVER (PARTITION BY n_nationkey ORDER BY {_KM}, sigla) AS nth FROM m, f WHERE flat <> 0 AND flng <> 0)
+SELECT n_name AS municipio_nome, sigla AS nearest, 'town ' || sigla AS nearest_town, round(km, 1) AS km, CASE WHEN km < 25 THEN 'near' WHEN km <= 50 THEN 'middle' ELSE 'far' END AS band FROM d WHERE nth = 1""")
+def distance_matrix(spark, sf_dir):
+    """Areas of a mesh, their centroids joined to the dimension, and the nearest facility that has coordinates; an area that the dimension lacks drops out."""
+    nations = table(spark, sf_dir, "nation")
+    x, y = (F.col("n_nationkey") * 3 % 40 - 55).cast("double"), (F.col("n_nationkey") * 2 % 30 - 30).cast("double")
+    ring = F.array(*[F.array(x + dx, y + dy) for dx, dy in ((0, 0), (2, 0), (2, 2), (0, 2), (0, 0))])
+    mesh = nations.select(F.col("n_nationkey").cast("string").alias("codarea"), F.lit("Polygon").alias("kind"), F.array(F.array(ring)).alias("polygons"))
+    dim = nations.filter("n_nationkey <> 5").select(F.col("n_nationkey").cast("string").alias("ibge_code"), F.col("n_name").alias("municipio_nome"))
+    units = _units(spark, sf_dir).withColumn("municipio", F.concat(F.lit("town "), F.col("sigla")))
+    return geography.distance_matrix(geography.municipal_points(mesh, dim), units).select("municipio_nome", "nearest", "nearest_town", "km", "band")
+
+
 @BOOK.add("""WITH o AS (SELECT o_custkey, list([CAST(o_orderkey % 90 AS DOUBLE), CAST(o_orderkey % 45 AS DOUBLE)] ORDER BY o_orderkey) AS coords FROM orders GROUP BY 1)
 SELECT count(*) AS axes, count_if(o_custkey % 3 = 0) AS federal, count_if(o_custkey % 3 <> 0) AS state, CAST(sum(len(coords)) AS BIGINT) AS points FROM o""")
 def road_axes(spark, sf_dir):

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +143,40 @@ def test_distance_matrix(spark):
     assert set(got) == {"1", "2"}
     assert (got["1"].nearest, got["1"].km, got["1"].band, got["1"].nearest_town) == ("U1", 0.0, "near", "A")
     assert got["2"].nearest == "U2" and got["2"].band == "far"
+
+
+def test_nearest_by_cells_is_that_of_the_array(spark):
+    from casemart.operators import rank
+
+    rng = random.Random(3)
+
+    def places(n, spread):
+        return [(k, rng.gauss(0, spread) % 180 - 90, rng.uniform(-180, 180)) if k % 3 else (k, 89.9 - rng.random() / 10, rng.uniform(-180, 180)) for k in range(n)]
+
+    points = spark.createDataFrame([*places(300, 40), (1000, None, 1.0), (1001, 10.0, 179.99), (1002, 10.0, -179.99)], "id long, lat double, lng double")
+    units = spark.createDataFrame([*places(400, 5), (900, 10.0, 179.98), (901, 10.0, 179.98), (902, None, 0.0)], "f long, flat double, flng double")
+    a, b = ({r.id: (r.f, r.km) for r in rank.nearest(points, units, "id", "lat", "lng", "f", "flat", "flng", as_array=n).collect()} for n in (10, 1000))
+    assert a == b and len(a) == 303 and a[1000] == (None, None) and a[1002][0] == 900
+
+
+def test_allocation_is_never_more_than_asked_for():
+    from casemart.operators.sampling import allocation
+
+    for counts, size in (({"a": 5, "b": 5, "c": 1}, 2), ({"a": 100, "b": 1, "c": 1}, 50), ({s: 1 for s in "abcdef"}, 6), ({"a": 2, "b": 2, "c": 2, "d": 1}, 5), ({"a": 3}, 10)):
+        got = allocation(counts, size)
+        assert sum(got.values()) == min(size, sum(counts.values())) and all(0 <= got[s] <= counts[s] for s in counts)
+
+
+def test_late_rows_and_state_between_runs(spark, tmp_path):
+    """Rows of an open window that come in a later run are added to it; rows behind the watermark are not."""
+    src, out, log = (f"{tmp_path}/{n}" for n in ("src", "out", "log"))
+    ddl, day = "t timestamp, u string", "2024-01-{:02d} 10:00:00"
+    said = []
+    for batch in ([(1, "a"), (2, "b"), (9, "c")], [(3, "b"), (10, "d"), (30, "e")], [(2, "late"), (30, "f")]):
+        rows = spark.createDataFrame([(day.format(d), u) for d, u in batch], "t string, u string").select(F.col("t").cast("timestamp").alias("t"), "u")
+        rows.coalesce(1).write.mode("append").parquet(src)
+        ingest.run_kpi(spark, src, ddl, "t", "7 days", "7 days", "u", out, log).awaitTermination()
+        said.append({str(r.from_time)[:10]: (r.records, r.ids) for r in ingest.latest(spark.read.parquet(out)).collect()})
+    assert said[0] == {"2023-12-28": (2, 2), "2024-01-04": (1, 1)}
+    assert said[1] == {"2023-12-28": (3, 2), "2024-01-04": (2, 2), "2024-01-25": (1, 1)}
+    assert said[2] == said[1] | {"2024-01-25": (2, 2)}
