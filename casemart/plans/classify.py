@@ -23,7 +23,7 @@ def first_match(text: Column, rules=config.TAXONOMY) -> Column:
 
 
 def of_verdict(number: Column, field: str) -> Column:
-    return F.element_at(F.array(*[F.lit(getattr(v, field)) for v in VERDICTS]), number + 1)
+    return F.get(F.array(*[F.lit(getattr(v, field)) for v in VERDICTS]), number)
 
 
 def reinforcement(field) -> Column:

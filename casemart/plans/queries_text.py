@@ -38,7 +38,7 @@ _PROSE = "CASE " + " ".join(f"WHEN {contains_any('text', r.terms)} THEN {literal
 @BOOK.add(f"SELECT {_PROSE} AS category, lang, count(*) AS n FROM documents GROUP BY ALL")
 def taxonomy_first_match(spark, sf_dir):
     hit = classify.first_match(F.col("text"), PROSE_RULES)
-    category = F.coalesce(F.element_at(F.array(*[F.lit(r.category) for r in PROSE_RULES]), hit + 1), F.lit("none"))
+    category = F.coalesce(F.get(F.array(*[F.lit(r.category) for r in PROSE_RULES]), hit), F.lit("none"))
     rows = table(spark, sf_dir, "documents").select(category.alias("category"), "lang")
     return rows.groupBy("category", "lang").agg(F.count(F.lit(1)).alias("n"))
 
