@@ -58,12 +58,19 @@ def _covered(starts: Column) -> Column:
     return F.aggregate(starts, zero, lambda t, p: F.struct((t.n + F.least(F.lit(3).cast("long"), p - t["last"])).alias("n"), p.alias("last")), lambda t: t.n)
 
 
-def window_codes(w: Column) -> Column:
-    """A whole number for every 3-word window, sorted: the place in the lowest bits, which the number of words needs, and the upper ones of a hash."""
-    bits = F.length(F.bin(F.size(w)))
-    code = lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("long"))
-    numbers = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.coalesce(code(i), F.lit(0).cast("long")))
-    return F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(F.sort_array(numbers))
+def window_hashes(w: Column) -> Column:
+    """A hash of every 3-word window, in their order."""
+    numbers = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    return F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(numbers)
+
+
+def _bits(h: Column) -> Column:
+    return F.length(F.bin(F.size(h)))
+
+
+def window_codes(h: Column) -> Column:
+    """The windows as whole numbers, sorted: the place in the lowest bits, as many as their number needs, and the hash above it."""
+    return F.sort_array(F.transform(h, lambda x, i: F.coalesce(F.call_function("shiftleft", x, _bits(h)).bitwiseOR(i.cast("long")), F.lit(0).cast("long"))))
 
 
 def _by_words(w: Column) -> Column:
@@ -78,8 +85,8 @@ def _by_words(w: Column) -> Column:
 
 def repeat_words_of(w: Column, codes: Column) -> Column:
     """Words in windows found twice or more. Windows of one code stand side by side; the words tell whether they are the same."""
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.size(w)))) - 1
-    alike = lambda x, y: F.coalesce(x.bitwiseXOR(y).between(F.lit(0), mask), F.lit(False))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), _bits(codes)) - 1
+    alike = lambda x, y: F.coalesce(F.call_function("shiftrightunsigned", x.bitwiseXOR(y), _bits(codes)) == 0, F.lit(False))
 
     def counted(again: Column) -> Column:
         def differ(i: Column) -> Column:
@@ -91,12 +98,17 @@ def repeat_words_of(w: Column, codes: Column) -> Column:
         places = F.sort_array(F.transform(again, lambda x: x.bitwiseAND(mask)))
         return F.when(F.size(again) == 0, F.lit(0).cast("long")).when(clash, _by_words(w)).otherwise(_covered(places))
 
-    return F.when(F.size(codes) < 2, F.lit(0).cast("long")).otherwise(let(_marked(codes, alike), counted))
+    return let(_marked(codes, alike), counted)
+
+
+def _repeats(w: Column, h: Column) -> Column:
+    # most texts repeat no window: as many hashes as windows say so
+    return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(window_codes(h), lambda codes: repeat_words_of(w, codes)))
 
 
 def n_repeat_words(w: Column) -> Column:
     """Words that lie in a 3-word window found twice or more. Codes of windows are sorted, so the work is n log n in the words."""
-    return let(window_codes(w), lambda codes: repeat_words_of(w, codes))
+    return let(window_hashes(w), lambda h: _repeats(w, h))
 
 
 @dataclass(frozen=True)
@@ -191,9 +203,9 @@ def report(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text"
         n_symbols(F.col("t")).cast("long").alias("n_symbols"),
         F.size("x").cast("long").alias("n_lines"),
         (F.size("x") - F.size(F.array_distinct("x"))).cast("long").alias("n_dup_lines"),
-        window_codes(F.col("w")).alias("codes"),
+        window_hashes(F.col("w")).alias("h"),
     )
-    counted = counted.withColumn("n_repeat_words", repeat_words_of(F.col("w"), F.col("codes")))
+    counted = counted.withColumn("n_repeat_words", _repeats(F.col("w"), F.col("h")))
     base = F.expr(RULES[0].by_counts) | F.expr(RULES[1].by_counts)
     rejected = _first_of(order, lambda r: r.rejects(F.col("t"), F.col("w")) if r.by_counts is None else F.expr(r.by_counts))
     return counted.select(

@@ -41,8 +41,9 @@ def test_windows_with_one_code_are_told_apart_by_their_words(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", quality.words(F.col("t")).alias("w"))
+    # the same upper bits for every window
     clashing = F.when(F.size("w") >= 3, F.sequence(F.lit(0).cast("long"), (F.size("w") - 3).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    got = docs.select("id", quality.repeat_words_of(F.col("w"), quality.window_codes(F.col("w"))).alias("a"), quality.repeat_words_of(F.col("w"), clashing).alias("b"), quality.n_repeat_words(F.col("w")).alias("c"))
+    got = docs.select("id", quality.repeat_words_of(F.col("w"), quality.window_codes(quality.window_hashes(F.col("w")))).alias("a"), quality.repeat_words_of(F.col("w"), clashing).alias("b"), quality.n_repeat_words(F.col("w")).alias("c"))
     for r in got.collect():
         assert r.a == r.b == r.c == brute(texts[r.id])[4]
 
