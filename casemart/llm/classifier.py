@@ -18,13 +18,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread, table
 
-#: Labelled texts of each class that the fit reads at most: the bound of what comes to the driver.
-FIT_ROWS = 1_200
+#: Labelled texts of each class that the fit reads at most, and the bytes of them that come to the driver in all; texts beyond those, or of more than a 64th of them, are left out of the fit.
+FIT_ROWS, FIT_BYTES = 1_200, 64 << 20
 DICTIONARY_BYTES = 112_640
 CHUNK_BYTES = 256
 LEVEL = 3
@@ -118,7 +118,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     order = F.xxhash64(F.lit("fit"), "id")
     chosen = usable.filter("y = 1").orderBy(order, "id").limit(fit_rows).unionByName(usable.filter("y = 0").orderBy(order, "id").limit(fit_rows)).groupBy("id").agg(F.min("y").alias("y"))
     texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"])  # 2 * fit_rows at most
+    # 2 * fit_rows at most; of rows that repeat an id the one with the smallest hash, at any partitioning
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    size = F.octet_length("text").cast("long")
+    so_far = F.sum(size).over(Window.orderBy(order, "id"))  # over the chosen rows
+    found = found.filter(size <= FIT_BYTES // 64).withColumn("so_far", so_far).filter(F.col("so_far") <= FIT_BYTES)
     rows = sorted((r.id, r.y, r.text.encode()) for r in found.collect())
     build, rest = rows[::2], rows[1::2]
     good, bad = (dictionary([t for _, y, t in build if y == want]) for want in (1, 0))
@@ -151,4 +155,4 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model).select("doc_id", F.coalesce(in_fold(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+    return scored(spread(docs), model).select("doc_id", F.coalesce(in_fold(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, table
+from .common import SPACE, spread, stored, table
 
 #: Share of the largest possible entropy that the weights reach.
 TARGET_ENTROPY = 0.92
@@ -184,7 +184,7 @@ def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(spread(table(spark, sf_dir, "documents")))
 
 
 #: With the parameters above.

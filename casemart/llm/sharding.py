@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, stored, table
+from .common import let, spread, stored, table
 
 SHARDS = 40
 VNODES = 64
@@ -201,5 +201,5 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slac
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
-    placed = shard_rows(table(spark, sf_dir, "documents"), SHARDS, VNODES)
+    placed = shard_rows(spread(table(spark, sf_dir, "documents")), SHARDS, VNODES)
     return placed.select("doc_id", F.col("bytes").alias("size"), "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
