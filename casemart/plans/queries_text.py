@@ -241,3 +241,32 @@ def text_search(spark, sf_dir):
 def chosen_ids(spark, sf_dir):
     """The rows of chosen users, which is the feature."""
     return table(spark, sf_dir, "events").filter(F.col("user_id").isin(1, 5, 9, 20, 33)).select("event_id", "user_id")
+
+
+@BOOK.add("""SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'PCI/SR/NR' || s_suppkey ELSE '' END AS sigla, CASE WHEN s_suppkey % 3 = 0 THEN 'Núcleo Regional' WHEN s_suppkey % 3 = 1 THEN 'Superintendência Regional' ELSE 'Unidade Regional' END AS tipo,
+  CAST(CASE WHEN s_suppkey % 7 = 0 THEN 0 ELSE s_suppkey % 40 END AS DOUBLE) AS lat, CASE WHEN s_acctbal > 0 AND s_suppkey % 2 = 0 THEN 'Rua ' || s_suppkey WHEN s_suppkey % 5 = 0 THEN 'Av. ' || s_suppkey ELSE '' END AS endereco,
+  'Superintendência em ' || s_nationkey AS vinculacao, s_acctbal > 0 AS tem_medicina_legal, s_suppkey % 5 = 0 AS tem_criminalistica, false AS tem_identificacao FROM supplier""")
+def facility_dimension(spark, sf_dir):
+    """Nested units, with absent services, empty addresses and a manager's name run into the parent unit, as a flat dimension."""
+    k = F.col("s_suppkey")
+
+    def service(there, address):
+        return F.when(there, F.struct(F.lit(True).alias("disponivel"), F.lit(None).cast("string").alias("nome"), address.alias("endereco"), F.lit(None).cast("string").alias("telefone"), F.lit(None).cast("string").alias("horario")))
+
+    name = F.when(k % 3 == 0, F.concat(F.lit("Núcleo Regional em X – PCI/SR/NR"), k)).when(k % 3 == 1, F.concat(F.lit("Superintendência de "), k)).otherwise(F.concat(F.lit("Posto "), k))
+    text = F.lit(None).cast("string")
+    raw = table(spark, sf_dir, "supplier").select(
+        *[text.alias(c) for c in ("slug", "ibge_code", "rodovia_principal", "url_oficial", "email")], F.lit("X").alias("municipio"), F.when(k % 7 != 0, (k % 40).cast("double")).alias("latitude"), F.lit(1.0).alias("longitude"), name.alias("nome_unidade"),
+        F.concat(F.lit("Superintendência em "), "s_nationkey", F.lit(" Perito Silva")).alias("vinculacao"), F.lit("Perito Silva").alias("responsavel"),
+        F.struct(service(F.col("s_acctbal") > 0, F.when(k % 2 == 0, F.concat(F.lit("Rua "), k)).otherwise("")).alias("medicina_legal"), service(k % 5 == 0, F.concat(F.lit("Av. "), k)).alias("criminalistica"), service(F.lit(False), text).alias("identificacao")).alias("servicos"),
+    )
+    return files.facilities(raw).select("sigla", "tipo", "lat", "endereco", "vinculacao", "tem_medicina_legal", "tem_criminalistica", "tem_identificacao")
+
+
+@BOOK.add("SELECT CAST(n_nationkey AS VARCHAR) AS ibge_code, n_name AS municipio, CASE WHEN n_nationkey % 4 = 0 THEN n_nationkey + 0.5 ELSE n_nationkey + 100.25 END AS km, 'u' || (n_nationkey % 3) AS pci_proxima FROM nation")
+def distance_records(spark, sf_dir):
+    """One JSON object for each region, whose keys are codes; the older name of the distance serves where the newer is absent."""
+    n = F.col("n_nationkey")
+    record = F.struct(F.col("n_name").alias("municipio"), F.when(n % 4 == 0, n + 0.5).alias("distancia_pci_km_linha_reta"), (n + 100.25).alias("distancia_pci_km"), F.concat(F.lit("u"), n % 3).alias("pci_proxima"))
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(n.cast("string"), record)))).alias("j"))
+    return files.distances(rows, "j").select("ibge_code", "municipio", "km", "pci_proxima")
