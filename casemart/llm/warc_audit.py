@@ -22,7 +22,7 @@ from .common import let, scratch, stored, table
 
 FAN = 16
 #: Bytes of a segment's records, about.
-SEGMENT_BYTES = 1 << 21
+SEGMENT_BYTES = 1 << 23
 #: The date of capture where the pages have none.
 DATE = "1970-01-01T00:00:00Z"
 #: Levels above the records: FAN ** LEVELS records fit below one root, and fuller segments only have a wider root.
