@@ -7,6 +7,7 @@ from .classifier import op7_quality_classifier
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .mixing import OP3_SQL, op3_mixing
 from .near_dedup import op9_near_dedup
+from .periodic_runs import op11_periodic_runs
 from .prefix_bpe import op13_prefix_bpe
 from .quality import OP2_SQL, op2_quality_rules
 from .sharding import op1_sharding
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_prefix_bpe": op13_prefix_bpe,
 }
 
