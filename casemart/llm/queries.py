@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op10_byte_bpe
 from .classifier import op7_quality_classifier
+from .conversation_repair import op12_conversation_repair
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .mixing import OP3_SQL, op3_mixing
 from .near_dedup import op9_near_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_prefix_bpe": op13_prefix_bpe,
 }
 
