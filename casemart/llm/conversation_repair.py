@@ -318,3 +318,73 @@ def op12_conversation_repair(spark, sf_dir: str) -> DataFrame:
     out = ids.join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left").join(sums, F.col("conv_id").eqNullSafe(F.col("s")), "left")
     zeros = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _sql() -> str:
+    """The same in SQL: four states with cost, audit and text each, carried over the rows of a conversation one by one."""
+
+    def then(state: str, cost: str, edit: str, line: str = "''") -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 't': {state}.t || {line}}} END"
+
+    def least(*weights: str) -> str:
+        return f"list_min([{', '.join(weights)}])"
+
+    kept, extra = "chr(10) || role || ':' || text", "(CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END)"
+    into = {"s": "e", "u": "esa", "a": "u"}
+
+    def at(role: str) -> str:
+        state = {"s": "s", "u": "u", "a": "a"}[role]
+        ways = [then(state, "2", "D")]
+        for before in into[role]:
+            ways.append(f"CASE WHEN clean AND initial = '{role}' THEN {then(before, extra, 'K', kept)} END")
+            if role in ROLES:
+                ways.append(f"CASE WHEN clean THEN {then(before, f'(1 + {extra})', 'R', f"chr(10) || '{ROLES[role]}:' || text")} END")
+        return least(*ways)
+
+    new = {r: f"chr(10) || '{role}:'" for r, role in ROLES.items()}
+    return f"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)
+), fated AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fate
+  FROM conversations, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS again
+  FROM fated
+), marked AS (
+  SELECT *, left(role, 1) AS initial, sha256(length(role)::VARCHAR || ':' || role || text) AS mark, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM damaged
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, mark) AS i FROM marked
+), faults AS (
+  SELECT *,
+    CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, mark ORDER BY i) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM numbered
+), rows_ AS (
+  SELECT *, fault NOT IN ('blank', 'duplicate') AS clean, coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal FROM faults
+), steps AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': ''}} AS e, CASE WHEN false THEN {{'c': 0, 'a': '', 't': ''}} END AS s,
+    {{'c': 5, 'a': 'I', 't': {new["u"]}}} AS u, {{'c': 10, 'a': 'II', 't': {new["u"]} || {new["a"]}}} AS a FROM conversations
+  UNION ALL
+  SELECT conv_id, i, e, s, u, {least("a", then("u", "5", "I", new["a"]))} FROM (
+    SELECT conv_id, i, e, s, {least("u", *(then(x, "5", "I", new["u"]) for x in "esa"))} AS u, a FROM (
+      SELECT rows_.conv_id, rows_.i, {then("e", "2", "D")} AS e, {at("s")} AS s, {at("u")} AS u, {at("a")} AS a
+      FROM steps JOIN rows_ ON rows_.conv_id IS NOT DISTINCT FROM steps.conv_id AND rows_.i = steps.i + 1
+    )
+  )
+), best AS (
+  SELECT conv_id, list_min([arg_max(e, i), arg_max(a, i)]) AS w, max(i) AS n FROM steps GROUP BY conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM rows_ GROUP BY conv_id
+)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  w.c::BIGINT AS cost, w.a AS audit, sha256(substr(w.t, 2)) AS repaired_sha256
+FROM best AS b LEFT JOIN counts AS k ON b.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
+
+
+OP12_SQL = _sql()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .bpe import op10_byte_bpe
 from .classifier import op7_quality_classifier
-from .conversation_repair import op12_conversation_repair
+from .conversation_repair import OP12_SQL, op12_conversation_repair
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .mixing import OP3_SQL, op3_mixing
 from .near_dedup import op9_near_dedup
@@ -37,4 +37,5 @@ ORACLE: dict[str, str] = {
     "op3_mixing": OP3_SQL,
     "op6_warc_audit": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op12_conversation_repair": OP12_SQL,
 }
