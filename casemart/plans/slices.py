@@ -12,6 +12,7 @@ from ..functions import measures as m
 from ..operators import aggregate as agg
 from ..operators import rank
 from ..operators.harmonise import metric_columns, with_default
+from ..operators.mergeable import Complaints, merged
 
 
 @dataclass(frozen=True)
@@ -37,14 +38,23 @@ class Filters:
 KEYS = ["ibge_code", "municipio_nome", "regiao_intermediaria", "regiao_imediata", "populacao_censo_2022"]
 
 
-def time_slice(municipal: DataFrame, annual: DataFrame, f: Filters) -> DataFrame:
-    """All periods from the municipal table, or chosen years summed from the annual one, with the halves that they cover."""
+def time_slice(municipal: DataFrame, annual: DataFrame, f: Filters, complaints: Complaints | None = None) -> DataFrame:
+    """All periods from the municipal table, or chosen years summed from the annual one, with the halves that they cover.
+
+    Sums count a complaint once in each of its periods; with the tables of
+    `complaints` (by ibge_code, ano, semestre) it counts once in the slice.
+    """
     if not f.years:
         halves = annual.select("ano", "semestre").distinct().agg(F.sum(F.when(F.col("semestre") == 0, 2).otherwise(1)).alias("halves"))
         return municipal.crossJoin(F.broadcast(halves))
     rows = annual.filter(F.col("ano").isin(*f.years))
     halves = agg.halves(rows.select("ano", "semestre").distinct()).agg(F.sum("halves").alias("halves"))
-    return agg.resum(rows, KEYS, skip=("ano", "semestre")).crossJoin(F.broadcast(halves))
+    summed = agg.resum(rows, KEYS, skip=("ano", "semestre"))
+    if complaints is not None:
+        exact = merged(complaints, ["ibge_code"], F.col("ano").isin(*f.years))
+        counts = [c for c in exact.columns if c != "ibge_code"]
+        summed = summed.drop(*counts).join(exact, "ibge_code", "left").fillna(0, counts)
+    return summed.crossJoin(F.broadcast(halves))
 
 
 def enrich(rows: DataFrame, distances: DataFrame | None, f: Filters) -> DataFrame:
@@ -64,8 +74,8 @@ def enrich(rows: DataFrame, distances: DataFrame | None, f: Filters) -> DataFram
     )
 
 
-def take(municipal: DataFrame, annual: DataFrame, f: Filters, distances: DataFrame | None = None) -> DataFrame:
-    rows = time_slice(municipal, annual, f)
+def take(municipal: DataFrame, annual: DataFrame, f: Filters, distances: DataFrame | None = None, complaints: Complaints | None = None) -> DataFrame:
+    rows = time_slice(municipal, annual, f, complaints)
     if f.regions:
         rows = rows.filter(F.col("regiao_intermediaria").isin(*f.regions))
     if f.codes:

@@ -1,6 +1,7 @@
 import datetime
 import math
 import os
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -8,14 +9,13 @@ import pytest
 from casemart.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-TABLES = "region nation customer supplier part orders lineitem events documents pages"
 
 
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in TABLES.split():
-        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for path in Path(SF).glob("*.parquet"):
+        c.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     return c
 
 
