@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .harmonise import Resolution, era, quoted
+from .harmonise import quoted
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -56,31 +56,6 @@ def null_profile(df: DataFrame) -> DataFrame:
     return sums.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def inventory(name: str, df: DataFrame, resolution: Resolution, in_state: DataFrame) -> DataFrame:
-    """One row for a source file: rows, state rows, distinct state rows, id column, distinct ids, era, resolved and missing fields."""
-    id_ = resolution.found.get("id_denuncia")
-    per = in_state.groupBy(*[quoted(c) for c in in_state.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    ids = in_state.agg(F.count_distinct(quoted(id_)) if id_ else F.lit(None).cast("long")).toDF("distinct_ids")
-    state = per.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("state_rows"), F.count(F.lit(1)).alias("distinct_state_rows"))
-    return (
-        df.agg(F.count(F.lit(1)).alias("rows"))
-        .crossJoin(state)
-        .crossJoin(ids)
-        .select(
-            F.lit(name).alias("file"),
-            "rows",
-            "state_rows",
-            "distinct_state_rows",
-            (F.col("state_rows") - F.col("distinct_state_rows")).alias("duplicates"),
-            F.lit(id_).alias("id_column"),
-            "distinct_ids",
-            F.lit(era(resolution)).alias("era"),
-            F.array(*map(F.lit, sorted(resolution.found))).cast("array<string>").alias("resolved"),
-            F.array(*map(F.lit, sorted(resolution.missing))).cast("array<string>").alias("missing"),
-        )
-    )
-
-
 def reconcile(**totals: DataFrame) -> DataFrame:
     """path, records, penal, equal: totals by several paths, each a frame of one row with records and penal, against the first."""
     frames = [t.select(F.lit(n).alias("path"), "records", "penal") for n, t in totals.items()]

@@ -18,8 +18,8 @@ from .proxy import table
 
 #: What a record tells, by p_size modulo their number; in some places less of it is penal, in some more.
 TOLD = ("AMEAÇA", "RACISMO", "ABORTO", "nada consta", "HUMILHAÇÃO", "x")
-#: The series ends before this day, so its last year is incomplete.
-LAST = "2001-07-01"
+#: All of this year is in the file of its first half, so the last year is incomplete.
+LAST = 2001
 #: Vulnerable groups by market segment.
 GROUP_OF = {"BUILDING": "Pessoa idosa", "MACHINERY": "Mulher"}
 DISTRICT = "'I' || (n_nationkey % 4)"
@@ -45,8 +45,7 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         group = F.when(F.col("c_mktsegment") == segment, name).otherwise(group)
     told = F.col("p_size") % len(TOLD)
     told = F.when((n % 4 == 0) & (told < 2), 5).when((n % 4 == 1) & (told == 3), 0).otherwise(told)
-    rows = rows.filter(F.col("o_orderdate") < F.lit(LAST).cast("timestamp_ntz"))
-    half = F.when(F.month("o_orderdate") <= 6, "primeiro").otherwise("segundo")
+    half = F.when((F.month("o_orderdate") <= 6) | (year == LAST), "primeiro").otherwise("segundo")
     return rows.select(
         F.when(year < 1999, F.concat(F.lit("cases-"), (year + 10).cast("string"))).otherwise(F.concat(F.lit("cases-"), half, F.lit("-semestre-"), (year + 10).cast("string"))).alias("period"),
         F.when(year < 1997, "a").when(year < 1999, "b").otherwise("c").alias("era"),
@@ -66,11 +65,14 @@ ERAS = {
 
 def write_periods(spark: SparkSession, sf_dir: str, out: str) -> str:
     """Writes the period folders and returns the pattern that matches them."""
-    rows = raw_rows(spark, sf_dir)
     order = ("period", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    once = scratch(spark, "period-rows")
+    raw_rows(spark, sf_dir).write.partitionBy("era").parquet(once)
+    rows = spark.read.parquet(once)
     for era, columns in ERAS.items():
-        dealt = rows.filter(F.col("era") == era).repartition("period").sortWithinPartitions(*order)
-        dealt.select("period", *[F.col(c).alias(n) for n, c in columns.items()]).write.partitionBy("period").parquet(f"{out}/{era}")
+        # by range, so a period may have several parts, whose numbers follow the order
+        own = rows.filter(F.col("era") == era).repartitionByRange(*order).sortWithinPartitions(*order)
+        own.select("period", *[F.col(c).alias(n) for n, c in columns.items()]).write.partitionBy("period").parquet(f"{out}/{era}")
     return f"{out}/*/period=*"
 
 
@@ -114,9 +116,9 @@ def _by_rule(field: str) -> str:
 
 #: The start of an oracle: src (all records), dim, fact, kp (the period table), mun (the municipal table), dist.
 STAR = f"""WITH src AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, n_nationkey AS n, n_name, CAST(year(o_orderdate) + 10 AS BIGINT) AS ano,
-  CAST(CASE WHEN year(o_orderdate) < 1999 THEN 0 WHEN month(o_orderdate) <= 6 THEN 1 ELSE 2 END AS BIGINT) AS semestre, CASE CASE WHEN n_nationkey % 4 = 0 AND p_size % {len(TOLD)} < 2 THEN 5 WHEN n_nationkey % 4 = 1 AND p_size % {len(TOLD)} = 3 THEN 0 ELSE p_size % {len(TOLD)} END {_PAIRS} END AS told, o_orderstatus, o_orderkey,
+  CAST(CASE WHEN year(o_orderdate) < 1999 THEN 0 WHEN month(o_orderdate) <= 6 OR year(o_orderdate) = {LAST} THEN 1 ELSE 2 END AS BIGINT) AS semestre, CASE CASE WHEN n_nationkey % 4 = 0 AND p_size % {len(TOLD)} < 2 THEN 5 WHEN n_nationkey % 4 = 1 AND p_size % {len(TOLD)} = 3 THEN 0 ELSE p_size % {len(TOLD)} END {_PAIRS} END AS told, o_orderstatus, o_orderkey,
   CASE WHEN year(o_orderdate) < 1999 THEN NULL {" ".join(f"WHEN c_mktsegment = '{s}' THEN '{g}'" for s, g in GROUP_OF.items())} END AS grupo
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey WHERE o_orderdate < TIMESTAMP '{LAST}'),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey),
 dim AS (SELECT '{config.CODE_PREFIX}' || lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS ibge_code, n_name AS municipio_nome, {DISTRICT} AS regiao_imediata, r_name AS regiao_intermediaria, CAST(CASE WHEN n_nationkey = 3 THEN NULL ELSE c.n * 1000 END AS BIGINT) AS populacao_censo_2022
   FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) c ON n_nationkey = c_nationkey WHERE n_nationkey < 20 AND n_nationkey <> 18),
 own AS (SELECT *, row_number() OVER (PARTITION BY ano, semestre ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS nth,

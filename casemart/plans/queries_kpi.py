@@ -94,19 +94,24 @@ def reaggregate_years(spark, sf_dir):
     return agg.resum(periods, ["territory"], F.col("ano").isin(1996, 1997, 1999), skip=("ano", "semestre"))
 
 
+def one_half_last(rows):
+    """The last year's rows all count to its first half, so that year is incomplete."""
+    return rows.withColumn("semestre", F.when(F.col("ano") == 2001, 1).otherwise(F.col("semestre")))
+
+
 @BOOK.add(FACT + """, k AS (SELECT ano, count(*) AS records, CAST(sum(CASE WHEN penal THEN 1 ELSE 0 END) AS BIGINT) AS penal, count(DISTINCT CASE WHEN reliable THEN id END) AS complaints,
-  count(DISTINCT semestre) AS halves FROM fact WHERE o_orderdate < TIMESTAMP '2001-07-01' GROUP BY ano)
+  count(DISTINCT CASE WHEN ano = 2001 THEN 1 ELSE semestre END) AS halves FROM fact GROUP BY ano)
 SELECT ano, records, penal, complaints, halves, halves = 1 AND ano >= 1995 AS partial, records - penal AS social, CASE WHEN complaints > 0 THEN round(records / complaints, 2) END AS expansion FROM k""")
 def yearly_partial_flag(spark, sf_dir):
-    rows = fact(spark, sf_dir).filter(F.col("o_orderdate") < F.lit("2001-07-01").cast("timestamp_ntz"))
+    rows = one_half_last(fact(spark, sf_dir))
     years = grains(rows, ["ano"]).join(rows.groupBy("ano").agg(F.count_distinct("semestre").alias("halves")), "ano")
     return years.select("ano", "records", "penal", "complaints", "halves", ((F.col("halves") == 1) & (F.col("ano") >= 1995)).alias("partial"), (F.col("records") - F.col("penal")).alias("social"), m.expansion(F.col("records"), F.col("complaints")).alias("expansion"))
 
 
-@BOOK.add(FACT + """, s AS (SELECT ano, semestre FROM fact WHERE o_orderdate < TIMESTAMP '2001-07-01' GROUP BY ALL)
+@BOOK.add(FACT + """, s AS (SELECT DISTINCT ano, CASE WHEN ano = 2001 THEN 1 ELSE semestre END AS semestre FROM fact)
 SELECT ano, CAST(CASE WHEN count(*) = 1 AND max(semestre) = 0 THEN 2 ELSE count(*) END AS INTEGER) AS halves, count(*) < 2 AND max(semestre) <> 0 AS incomplete FROM s GROUP BY ano""")
 def halves_per_year(spark, sf_dir):
-    return agg.halves(fact(spark, sf_dir).filter(F.col("o_orderdate") < F.lit("2001-07-01").cast("timestamp_ntz")))
+    return agg.halves(one_half_last(fact(spark, sf_dir)))
 
 
 @BOOK.add(FACT + f""", {MAJORITY("territory")}, {POPULATION}, k AS (SELECT territory, {GRAIN} FROM fact WHERE region = 1 GROUP BY territory),

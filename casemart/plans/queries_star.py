@@ -299,13 +299,7 @@ def audited(spark, sf_dir, part: str) -> DataFrame:
 
 def inventories(spark, sf_dir) -> DataFrame:
     """Q2 of every period file."""
-    frames = []
-    for path in files.list_files(spark, built(spark, sf_dir)["raw"]):
-        raw = spark.read.parquet(path)
-        r = harmonise.resolve(raw.columns)
-        in_state = raw.filter(F.upper(F.btrim(harmonise.quoted(r.found["uf"]))) == config.STATE)
-        frames.append(audit.inventory(path.rstrip("/").rsplit("/", 1)[-1].removeprefix("period="), raw, r, in_state))
-    return harmonise.union_diagonal(frames)
+    return files.inventory(spark, built(spark, sf_dir)["raw"])
 
 
 @BOOK.add(STAR + f"""SELECT ano, semestre, {GRAINS}, {", ".join(f"CAST(sum({f}) AS BIGINT) AS {f}" for f in (*config.GROUPS.values(), "sem_grupo"))}, count_if(ibge_code = '{config.SENTINEL_CODE}') AS unidentified,
@@ -363,8 +357,8 @@ _SPELT = [("id_denuncia", "hash_par_vitima_suspeito", "b"), ("id_denuncia", "has
 @BOOK.add(STAR + f", f AS (SELECT DISTINCT {_FILE_SQL} AS file, {_ERA_SQL} AS era FROM src) " + " UNION ALL ".join(f"SELECT '{field}' AS field, '{name}' AS spelling, count_if(era IN ({', '.join(repr(e) for e in eras)})) AS n_files FROM f" for field, name, eras in _SPELT))
 def field_spellings(spark, sf_dir):
     """Which spelling of a field how many of the period files use."""
-    paths = files.list_files(spark, built(spark, sf_dir)["raw"])
-    return harmonise.spellings({p: spark.read.parquet(p).columns for p in paths}, spark)
+    groups = files.spelling_groups(spark, files.list_files(spark, built(spark, sf_dir)["raw"]))
+    return harmonise.spellings({p: g.schema.names for g in groups for p in g.paths}, spark)
 
 
 @BOOK.add(STAR + "SELECT municipio_nome AS municipio, total_denuncias AS total_registros, total_denuncias FROM mun")

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import config
 from ..functions import text as tx
 from ..operators.audit import require, validate_copy
-from ..operators.harmonise import canonical, quoted, resolve
+from ..operators.harmonise import Resolution, canonical, era, quoted, resolve
 
 DELIMITERS = (";", ",", "\t", "|")
 
@@ -38,19 +41,75 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in found) if found else []
 
 
-def read_period_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """All files (or folders of one file's parts) that match, each with its own schema, as one canonical frame with id_column, ano, semestre, part_file and row_index."""
+class Spelling(NamedTuple):
+    """Files whose columns have the same names and types, and what these stand for."""
+
+    schema: StructType
+    resolution: Resolution
+    paths: list[str]
+
+
+def spelling_groups(spark: SparkSession, paths: list[str]) -> list[Spelling]:
+    """Files by schema. Each footer is read once, several at a time; plans over the groups have a branch for each, not for each file."""
+    if not paths:
+        return []
+    with ThreadPoolExecutor(min(32, len(paths))) as pool:
+        schemas = list(pool.map(lambda path: spark.read.parquet(path).schema, paths))
+    groups: dict[tuple, Spelling] = {}
+    for path, schema in zip(paths, schemas, strict=True):
+        key = tuple((f.name, f.dataType.simpleString()) for f in schema)
+        groups.setdefault(key, Spelling(schema, resolve(schema.names), [])).paths.append(path)
+    return list(groups.values())
+
+
+def read_period_files(spark: SparkSession, source: str | list[str]) -> DataFrame:
+    """All files (or folders of one file's parts) of a pattern or a list, each by its own spellings, as one canonical frame with id_column, ano, semestre, part_file and row_index.
+
+    Files of one schema are one scan of their resolved columns.
+    """
     frames = []
-    for path in list_files(spark, pattern):
-        raw = spark.read.parquet(path)
-        r = resolve(raw.columns)
+    for group in spelling_groups(spark, list_files(spark, source) if isinstance(source, str) else source):
+        r = group.resolution
+        wanted = set(r.found.values())
+        raw = spark.read.schema(StructType([f for f in group.schema if f.name in wanted])).parquet(*group.paths)
         rows = with_period(raw).select("*", F.col("_metadata.file_name").alias("part_file"), F.col("_metadata.row_index").alias("row_index"))
         frames.append(canonical(rows, r, ("arquivo_origem", "ano", "semestre", "part_file", "row_index")).withColumn("id_column", F.lit(r.found.get("id_denuncia")).cast("string")))
     if not frames:
-        raise FileNotFoundError(pattern)
+        raise FileNotFoundError(source)
     return reduce(DataFrame.unionByName, frames)
 
 
+def inventory(spark: SparkSession, source: str | list[str], state: str = config.STATE) -> DataFrame:
+    """One row for each source file with rows: rows, state rows, distinct state rows, duplicates, id column, distinct ids, era, resolved and missing fields.
+
+    One scan for each schema and one aggregate by file. Rows are told apart by
+    the MD5 of all their values, ids by their value; both are made distinct on
+    one shuffle, after partial counts. A file without a state column has no
+    state rows.
+    """
+    frames, groups = [], spelling_groups(spark, list_files(spark, source) if isinstance(source, str) else source)
+    if not groups:
+        raise FileNotFoundError(source)
+    for n, group in enumerate(groups):
+        found = group.resolution.found
+        raw = with_period(spark.read.schema(group.schema).parquet(*group.paths))
+        own = F.coalesce(F.upper(F.btrim(quoted(found["uf"]).cast("string"))) == state, F.lit(False)) if "uf" in found else F.lit(False)
+        id_ = quoted(found["id_denuncia"]).cast("string") if "id_denuncia" in found else F.lit(None).cast("string")
+        frames.append(raw.select(F.col("arquivo_origem").alias("file"), F.lit(n).alias("n"), own.alias("own"), F.when(own, F.md5(F.to_json(F.struct(*map(quoted, group.schema.names))))).alias("row"), F.when(own, id_).alias("id")))
+    kinds = F.array(F.struct(F.lit("row").alias("kind"), F.col("row").alias("value")), F.struct(F.lit("id").alias("kind"), F.col("id").alias("value")))
+    each = reduce(DataFrame.unionByName, frames).select("file", "n", "own", F.inline(kinds)).groupBy("file", "n", "own", "kind", "value").agg(F.count(F.lit(1)).alias("m"))
+    row, there = F.col("kind") == "row", F.col("own") & F.col("value").isNotNull()
+    sums = each.groupBy("file", "n").agg(
+        F.sum(F.when(row, F.col("m"))).alias("rows"), F.coalesce(F.sum(F.when(row & F.col("own"), F.col("m"))), F.lit(0)).alias("state_rows"), F.count_if(row & there).alias("distinct_state_rows"), F.count_if(~row & there).alias("ids")
+    )
+    told = [(n, g.resolution.found.get("id_denuncia"), era(g.resolution), sorted(g.resolution.found), sorted(g.resolution.missing)) for n, g in enumerate(groups)]
+    facts = spark.createDataFrame(told, "n int, id_column string, era string, resolved array<string>, missing array<string>")
+    return sums.join(F.broadcast(facts), "n").select(
+        F.regexp_replace("file", r"^\w+=", "").alias("file"), "rows", "state_rows", "distinct_state_rows", (F.col("state_rows") - F.col("distinct_state_rows")).alias("duplicates"),
+        "id_column", F.when(F.col("id_column").isNotNull(), F.col("ids")).alias("distinct_ids"), "era", "resolved", "missing",
+    )
+
+
 def detect_delimiter(spark: SparkSession, path: str) -> str:
     """The most frequent delimiter of the first line; a comma if it has none."""
     head = spark.read.text(path).limit(1).collect()
