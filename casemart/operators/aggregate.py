@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +22,27 @@ def two_grain(df: DataFrame, keys: list[str], id_: str, reliable: Column, penal:
     level. Records without a reliable id meet in one row a key, after partial
     sums.
     """
+    return second_grain(first_grain(df, keys, id_, reliable, penal, sums), keys, sums or {})
+
+
+#: What the first grain adds to its keys besides `sums`.
+GRAIN = ("_id", "_rel")
+
+
+def first_grain(df: DataFrame, keys: list[str], id_: str, reliable: Column, penal: Column, sums: dict[str, Column] | None = None) -> DataFrame:
+    """A row for every key and complaint, with sums. Such rows of several batches are merged by `merge_first`."""
     rel = F.coalesce(reliable, F.lit(False)) & F.col(id_).isNotNull()
-    first = df.groupBy(*keys, F.when(rel, F.col(id_)).alias("_id"), rel.alias("_rel")).agg(
+    return df.groupBy(*keys, F.when(rel, F.col(id_)).alias("_id"), rel.alias("_rel")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.coalesce(penal, F.lit(False)).cast("long")).alias("_p"), *[F.sum(c).alias(n) for n, c in (sums or {}).items()]
     )
+
+
+def merge_first(states: DataFrame, keys: list[str], sums: Iterable[str] = ()) -> DataFrame:
+    """Rows of the first grain, of several batches or of finer keys, as one for every key and complaint."""
+    return states.groupBy(*keys, *GRAIN).agg(*[F.sum(c).alias(c) for c in ("_n", "_p", *sums)])
+
+
+def second_grain(first: DataFrame, keys: list[str], sums: Iterable[str] = ()) -> DataFrame:
     return first.groupBy(*keys).agg(
         F.sum("_n").alias("records"),
         F.sum("_p").alias("penal"),
@@ -31,7 +50,7 @@ def two_grain(df: DataFrame, keys: list[str], id_: str, reliable: Column, penal:
         F.count_if("_rel").alias("complaints"),
         F.count_if(F.col("_rel") & (F.col("_p") > 0)).alias("complaints_penal"),
         F.count_if(F.col("_rel") & (F.col("_p") * 2 > F.col("_n"))).alias("complaints_majority"),
-        *[F.sum(n).alias(n) for n in sums or {}],
+        *[F.sum(n).alias(n) for n in sums],
     )
 
 

@@ -8,6 +8,8 @@ complaint ids in files of half years. Every era spells its columns its own way.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +66,14 @@ ERAS = {
 
 
 def write_periods(spark: SparkSession, sf_dir: str, out: str) -> str:
-    """Writes the period folders and returns the pattern that matches them."""
+    """Writes the period folders of all eras and returns the pattern that matches them."""
+    for _ in era_by_era(spark, sf_dir, out):
+        pass
+    return f"{out}/*/period=*"
+
+
+def era_by_era(spark: SparkSession, sf_dir: str, out: str) -> Iterator[str]:
+    """Writes the period folders of one era after the other."""
     order = ("period", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     once = scratch(spark, "period-rows")
     raw_rows(spark, sf_dir).write.partitionBy("era").parquet(once)
@@ -73,7 +82,7 @@ def write_periods(spark: SparkSession, sf_dir: str, out: str) -> str:
         # by range, so a period may have several parts, whose numbers follow the order
         own = rows.filter(F.col("era") == era).repartitionByRange(*order).sortWithinPartitions(*order)
         own.select("period", *[F.col(c).alias(n) for n, c in columns.items()]).write.partitionBy("period").parquet(f"{out}/{era}")
-    return f"{out}/*/period=*"
+        yield era
 
 
 def dimension(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..operators import audit, harmonise
+from ..scratch import scratch
 from ..sources import files
+from ..streaming import facts
 from . import geography, slices, star
 from .proxy import Book, table
-from .proxy_star import COUNTS, STAR, built, distances
+from .proxy_star import COUNTS, STAR, built, dimension, distances, era_by_era
 
 BOOK = Book()
 FACT_COLUMNS = "id_fato, ano, semestre, id_denuncia, grain_denuncia_confiavel, ibge_code, municipio_nome, regiao_intermediaria, regiao_imediata, indicio_penal, categoria_penal, grau_certeza, orgao_prioritario, fundamentacao_legal, grupo_primario, is_crianca, is_mulher, is_idoso, is_pcd, is_lgbtqia, is_prisional_rua, sem_grupo, qtd_grupos".split(", ")
@@ -42,6 +44,21 @@ def star_category(spark, sf_dir):
     return built(spark, sf_dir)["kpi_category"]
 
 
+@BOOK.add(STAR + f"SELECT 'period' AS kind, ibge_code, ano, semestre, {', '.join(COUNTS)} FROM kp UNION ALL SELECT 'all', ibge_code, NULL, NULL, {', '.join(COUNTS)} FROM mun")
+def star_from_stream(spark, sf_dir):
+    """The files of the three eras as they come in, each go classified and merged into the indicator tables, and the second one run once more as after a failure."""
+    landing, out, log = scratch(spark, "era-landing"), scratch(spark, "era-star"), scratch(spark, "era-log")
+    dim = dimension(spark, sf_dir)
+    for era in era_by_era(spark, sf_dir, landing):
+        facts.follow(spark, f"{landing}/*/period=*", dim, out, log).awaitTermination()
+        if era == "b":
+            facts.take(spark, files.list_files(spark, f"{landing}/b/period=*"), 1, dim, out)
+    got = facts.tables(spark, out, dim)
+    none = F.lit(None).cast("long")
+    by_period = got["kpi_period"].select(F.lit("period").alias("kind"), "ibge_code", "ano", "semestre", *COUNTS)
+    return by_period.unionByName(got["kpi_municipality"].select(F.lit("all").alias("kind"), "ibge_code", none.alias("ano"), none.alias("semestre"), *COUNTS))
+
+
 def slice_sql(years: tuple[int, ...], total: str, penal: str, metric: str, scale: int, where: str = "true") -> str:
     """s: the rows of a slice."""
     halves = "SELECT CAST(sum(CASE WHEN semestre = 0 THEN 2 ELSE 1 END) AS BIGINT) AS halves FROM (SELECT DISTINCT ano, semestre FROM kp" + (f" WHERE ano IN {years})" if years else ")")
@@ -371,8 +388,6 @@ def read_side_aliases(spark, sf_dir):
 @BOOK.add(STAR + "SELECT ibge_code, total_penal FROM mun WHERE total_penal > 0")
 def exported_slice(spark, sf_dir):
     """A slice leaves as CSV with a contract of columns, one of which does not exist, and is read again; a saved view serves where it exists."""
-    from ..scratch import scratch
-
     out = scratch(spark, "export")
     files.export(taken(spark, sf_dir).filter("total_penal > 0"), out, "csv", ["ibge_code", "total_penal", "absent"])
     rows = spark.read.csv(out, header=True, schema="ibge_code string, total_penal long")

@@ -64,16 +64,36 @@ def _sums() -> dict:
     return one | {"sem_grupo_total": F.col("sem_grupo"), "sem_grupo_penal": F.when(penal, F.col("sem_grupo")).otherwise(0)}
 
 
+#: Columns that the indicator tables sum besides the two grains.
+SUMS = tuple(f"{g}_{k}" for k in ("total", "penal") for g in config.GROUPS) + ("sem_grupo_total", "sem_grupo_penal")
+#: Names of the two-grain columns in the indicator tables.
+COUNTED = {"records": "total_denuncias", "penal": "total_penal", "complaints": "denuncias_unicas", "complaints_penal": "denuncias_unicas_penal", "complaints_majority": "denuncias_unicas_maioria_penal", "reliable_records": "registros_com_denuncia_identificavel"}
+CATEGORY_KEYS = ["ano", "semestre", "regiao_intermediaria", "categoria_penal", "grau_certeza", "orgao_prioritario", "fundamentacao_legal", "indicio_penal"]
+PERIOD_KEYS = ["ibge_code", "ano", "semestre"]
+
+
+def grain_rows(fact: DataFrame, keys: list[str]) -> DataFrame:
+    """The first grain of an indicator table."""
+    return agg.first_grain(fact, keys, "id_denuncia", F.col("grain_denuncia_confiavel") == 1, F.col("indicio_penal") == 1, _sums())
+
+
+def counted(grain: DataFrame, keys: list[str]) -> DataFrame:
+    """The columns of an indicator table from its first grain, with one row for every key and complaint."""
+    return agg.second_grain(grain, keys, SUMS).withColumnsRenamed(COUNTED)
+
+
 def _counted(fact: DataFrame, keys: list[str]) -> DataFrame:
-    counted = agg.two_grain(fact, keys, "id_denuncia", F.col("grain_denuncia_confiavel") == 1, F.col("indicio_penal") == 1, _sums())
-    names = {"records": "total_denuncias", "penal": "total_penal", "complaints": "denuncias_unicas", "complaints_penal": "denuncias_unicas_penal", "complaints_majority": "denuncias_unicas_maioria_penal", "reliable_records": "registros_com_denuncia_identificavel"}
-    return counted.withColumnsRenamed(names)
+    return counted(grain_rows(fact, keys), keys)
 
 
 def kpi_municipality(fact: DataFrame, dim: DataFrame) -> DataFrame:
     """All municipalities of the dimension with counts (0 where there are none) and rates (null without a population)."""
-    counted = _counted(fact, ["ibge_code"])
-    rows = dim.join(counted, "ibge_code", "left").fillna(0, [c for c in counted.columns if c != "ibge_code"])
+    return municipal(_counted(fact, ["ibge_code"]), dim)
+
+
+def municipal(counts: DataFrame, dim: DataFrame) -> DataFrame:
+    """The municipal table from its counts by ibge_code."""
+    rows = dim.join(counts, "ibge_code", "left").fillna(0, [c for c in counts.columns if c != "ibge_code"])
     rows = rows.withColumn("total_registros", F.col("total_denuncias")).withColumn("total_social", F.col("total_denuncias") - F.col("total_penal"))
     pop = F.col("populacao_censo_2022")
     rates = {"taxa_total_10k": "total_denuncias", "taxa_penal_10k": "total_penal", "taxa_denuncias_unicas_10k": "denuncias_unicas", "taxa_denuncias_maioria_penal_10k": "denuncias_unicas_maioria_penal"}
@@ -83,12 +103,16 @@ def kpi_municipality(fact: DataFrame, dim: DataFrame) -> DataFrame:
 
 def kpi_period(fact: DataFrame, dim: DataFrame) -> DataFrame:
     """Municipality, year and half; codes that the dimension lacks drop out."""
-    return dim.join(_counted(fact, ["ibge_code", "ano", "semestre"]), "ibge_code")
+    return dim.join(_counted(fact, PERIOD_KEYS), "ibge_code")
 
 
 def kpi_category(fact: DataFrame) -> DataFrame:
-    keys = ["ano", "semestre", "regiao_intermediaria", "categoria_penal", "grau_certeza", "orgao_prioritario", "fundamentacao_legal", "indicio_penal"]
-    return _counted(fact, keys).select(*keys, F.col("total_denuncias").alias("registros"), "denuncias_unicas")
+    return category(_counted(fact, CATEGORY_KEYS))
+
+
+def category(counts: DataFrame) -> DataFrame:
+    """The category table from its counts."""
+    return counts.select(*CATEGORY_KEYS, F.col("total_denuncias").alias("registros"), "denuncias_unicas")
 
 
 def build(spark: SparkSession, pattern: str, dim: DataFrame, out: str) -> dict[str, DataFrame]:
