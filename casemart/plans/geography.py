@@ -15,7 +15,7 @@ MESH = "codarea string, kind string, polygons array<array<array<array<double>>>>
 
 
 def located(lat: Column, lng: Column) -> Column:
-    """Whether coordinates are there: neither null nor both a placeholder 0."""
+    """Whether coordinates are there: neither is null or the placeholder 0."""
     return lat.isNotNull() & lng.isNotNull() & (lat != 0) & (lng != 0)
 
 
@@ -29,7 +29,7 @@ def municipal_points(mesh: DataFrame, dim: DataFrame) -> DataFrame:
 def distance_matrix(points: DataFrame, facilities: DataFrame) -> DataFrame:
     """For every municipality the nearest facility with coordinates, its town, the km (1 decimal) and the band of the exact km."""
     usable = facilities.filter(located(F.col("lat"), F.col("lon"))).select(F.col("sigla").alias("nearest"), F.col("lat").alias("_flat"), F.col("lon").alias("_flng"))
-    found = rank.nearest(points, usable, "ibge_code", "lat", "lng", "nearest", "_flat", "_flng")
+    found = rank.nearest(points, usable, "lat", "lng", "nearest", "_flat", "_flng")
     town = facilities.select(F.col("sigla").alias("nearest"), F.col("municipio").alias("nearest_town")).dropDuplicates(["nearest"])
     return found.join(town, "nearest", "left").withColumn("band", m.distance_band(F.col("km"))).withColumn("km", F.round("km", 1))
 
@@ -51,7 +51,7 @@ def peaks(rows: DataFrame, topics: dict[str, Column], facilities: DataFrame, nam
     """
     top = rank.top_per_topic(rank.unpivot_topics(rows, [name, region, "lat", "lng"], topics), n, name)
     usable = facilities.filter(located(F.col("lat"), F.col("lon"))).select(F.col("sigla").alias("nearest"), F.col("lat").alias("_flat"), F.col("lon").alias("_flng"))
-    near = rank.nearest(top, usable, name, "lat", "lng", "nearest", "_flat", "_flng")
+    near = rank.nearest(top, usable, "lat", "lng", "nearest", "_flat", "_flng")
     return {"peaks": near, "clusters": rank.clusters(top, region, "lat", "lng", name)}
 
 

@@ -96,7 +96,7 @@ n AS (SELECT p.c_custkey, c_acctbal, s_suppkey, km, CASE WHEN km IS NULL THEN 'u
 def nearest(spark, sf_dir):
     points = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.when(F.col("c_custkey") % 50 != 0, (F.col("c_custkey") * 37 % 1000 / 100.0 - 5).cast("double")).alias("lat"), (F.col("c_custkey") * 91 % 1000 / 100.0 - 5).cast("double").alias("lng"))
     facilities = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 53 % 1000 / 100.0 - 5).cast("double").alias("flat"), (F.col("s_suppkey") * 29 % 1000 / 100.0 - 5).cast("double").alias("flng"))
-    found = rank.nearest(points, facilities, "c_custkey", "lat", "lng", "s_suppkey", "flat", "flng")
+    found = rank.nearest(points, facilities, "lat", "lng", "s_suppkey", "flat", "flng")
     return found.withColumn("band", m.distance_band(F.col("km")))
 
 

@@ -1,5 +1,3 @@
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,20 +143,6 @@ def test_distance_matrix(spark):
     assert got["2"].nearest == "U2" and got["2"].band == "far"
 
 
-def test_nearest_by_cells_is_that_of_the_array(spark):
-    from casemart.operators import rank
-
-    rng = random.Random(3)
-
-    def places(n, spread):
-        return [(k, rng.gauss(0, spread) % 180 - 90, rng.uniform(-180, 180)) if k % 3 else (k, 89.9 - rng.random() / 10, rng.uniform(-180, 180)) for k in range(n)]
-
-    points = spark.createDataFrame([*places(300, 40), (1000, None, 1.0), (1001, 10.0, 179.99), (1002, 10.0, -179.99)], "id long, lat double, lng double")
-    units = spark.createDataFrame([*places(400, 5), (900, 10.0, 179.98), (901, 10.0, 179.98), (902, None, 0.0)], "f long, flat double, flng double")
-    a, b = ({r.id: (r.f, r.km) for r in rank.nearest(points, units, "id", "lat", "lng", "f", "flat", "flng", as_array=n).collect()} for n in (10, 1000))
-    assert a == b and len(a) == 303 and a[1000] == (None, None) and a[1002][0] == 900
-
-
 def test_allocation_is_never_more_than_asked_for():
     from casemart.operators.sampling import allocation
 
