@@ -97,9 +97,12 @@ def pivot_top(df: DataFrame, row: str, column: str, value: str, n: int) -> DataF
 
 
 def spread(df: DataFrame, records: str, complaints: str, floor: int) -> DataFrame:
-    """min, median, max of records per complaint among rows with at least `floor` complaints."""
-    ratio = F.col(records) / F.col(complaints)
-    return df.filter(F.col(complaints) >= floor).agg(F.count(F.lit(1)).alias("n"), F.min(ratio).alias("low"), F.median(ratio).alias("middle"), F.max(ratio).alias("high"))
+    """n, min, median, max of records per complaint among rows with at least `floor` complaints; of no such row 0 and nulls."""
+    from .middle import medians
+
+    rows = df.filter(F.col(complaints) >= floor).select((F.col(records) / F.col(complaints)).alias("_ratio"))
+    ends = rows.agg(F.count(F.lit(1)).alias("n"), F.min("_ratio").alias("low"), F.max("_ratio").alias("high"))
+    return ends.join(F.broadcast(medians(rows, [], "_ratio", "middle")), how="left").select("n", "low", "middle", "high")  # a row each
 
 
 def growth(df: DataFrame, order: str, columns: list[str], where: Column | None = None) -> DataFrame:

@@ -19,9 +19,11 @@ def null_profile(spark, sf_dir):
     return audit.null_profile(rows)
 
 
-@BOOK.add("WITH e AS (SELECT user_id, event_type FROM events) SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM e)) AS distinct_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM e)) AS duplicates FROM e")
+@BOOK.add("WITH e AS (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 3 = 0) SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM e)) AS distinct_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM e)) AS duplicates FROM e")
 def distinct_rows(spark, sf_dir):
-    return audit.distinct_rows(table(spark, sf_dir, "events").select("user_id", "event_type"))
+    """Whole rows of all events, of which a third is there twice."""
+    events = table(spark, sf_dir, "events")
+    return audit.distinct_rows(events.unionByName(events.filter("event_id % 3 = 0")))
 
 
 @BOOK.add("""WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS status, NULL AS kind, 'orders' AS origin FROM orders UNION ALL SELECT CAST(event_id AS VARCHAR), NULL, event_type, 'events' FROM events)
@@ -99,6 +101,19 @@ def csv_round_trip(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@BOOK.add("""SELECT 'source' AS side, CAST(1 AS BIGINT) AS times, l_orderkey, l_linenumber, l_quantity, count(*) AS rows FROM lineitem WHERE l_orderkey % 97 = 5 AND l_linenumber = 1 GROUP BY ALL
+UNION ALL SELECT 'copy', 1, l_orderkey, l_linenumber, l_quantity + 1, count(*) FROM lineitem WHERE l_orderkey % 97 = 5 AND l_linenumber = 1 GROUP BY ALL""")
+def copy_differences(spark, sf_dir):
+    """All lines against a copy in which some quantities were changed: the rows that either side has and the other lacks."""
+    lines = table(spark, sf_dir, "lineitem")
+    hit = F.expr("l_orderkey % 97 = 5 AND l_linenumber = 1")
+    copy = lines.withColumn("l_quantity", F.when(hit, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    report = audit.validate_copy(lines, copy)
+    assert {r.check for r in report.filter("not passed").collect()} <= {"content", "column l_quantity"}
+    odd = audit.differing(lines, copy)
+    return odd.groupBy("side", "times", "l_orderkey", "l_linenumber", "l_quantity").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @BOOK.add("SELECT 'o_orderstatus=' || o_orderstatus AS folder, CASE o_orderstatus WHEN 'F' THEN 'diverge' WHEN 'O' THEN 'absent' ELSE 'match' END AS status FROM orders GROUP BY o_orderstatus")
 def artefact_check(spark, sf_dir):
     """Files of a partitioned write against the prints of an earlier one, in which one folder was damaged and one taken away since."""

@@ -8,6 +8,8 @@ from ..functions import geo
 from ..functions import measures as m
 from ..operators import aggregate as agg
 from ..operators import rank
+from ..operators.middle import medians
+from ..scratch import stored
 from . import geography
 from .proxy import FACT, FLAGS, POPULATION, Book, fact, population, table
 
@@ -109,8 +111,18 @@ def nearest_facility(spark, sf_dir):
 def band_summary(spark, sf_dir):
     """Every band, also one without rows."""
     bands = spark.createDataFrame([(b,) for b in ("near", "middle", "far", "unknown")], "band string")
-    rows = nearest(spark, sf_dir).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(m.travel_minutes(F.col("km"), 60)), 4).alias("minutes"), F.round(F.median("km"), 4).alias("median_km"))
-    return bands.join(rows, "band", "left").fillna(0, ["n"])
+    found = stored(nearest(spark, sf_dir).select("band", "km"), "distances")
+    rows = found.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(m.travel_minutes(F.col("km"), 60)), 4).alias("minutes"))
+    middle = medians(found, ["band"], "km").select("band", F.round("median", 4).alias("median_km"))
+    return bands.join(rows, "band", "left").join(middle, "band", "left").fillna(0, ["n"])
+
+
+@BOOK.add("SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS price, count(*) AS n FROM lineitem GROUP BY ALL")
+def median_price(spark, sf_dir):
+    """Medians of a few very large groups; no group's values lie in one buffer, as only 500 of them are ever sorted."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    keys = ["l_returnflag", "l_linestatus"]
+    return lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(medians(lines, keys, "l_extendedprice", "price", most=500), keys)
 
 
 @BOOK.add(_NEAR + "SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal, round(km, 4) AS km FROM n WHERE band = 'far' ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
