@@ -6,7 +6,11 @@ digests, up to one root for each segment, so a record out of place changes the
 root as a damaged one does.
 Two replicas with equal roots are equal. Where roots differ, only the children
 of differing nodes are compared, level by level, until the damaged records are
-found.
+found. Every record of a file is a leaf: by its ordinal, which a record that
+follows a lost one keeps; one that tells an ordinal again by that and how many
+came before it; one without a legible ordinal by its turn among these. In a
+file whose records have none at all, as other tools write them, the position
+serves.
 
 Segments are WARC files that Spark's text writer makes: a record ends in two
 line ends, which is the writer's separator. All hashing and comparing is
@@ -28,7 +32,11 @@ DATE = "1970-01-01T00:00:00Z"
 #: Levels above the records: FAN ** LEVELS records fit below one root, and fuller segments only have a wider root.
 LEVELS = 3
 END = "\r\n\r\n"
-MARK = "WARC/1.1\r\n"
+#: What every record begins with, in either version of the format, and what ours do.
+BEGIN = "WARC/1."
+MARK = BEGIN + "1\r\n"
+#: Leaves that repeat an ordinal are this far from it, once for each time.
+AGAIN = 1 << 40
 
 
 def segment_of(page_id: Column, url: Column, body: Column, segments: int) -> Column:
@@ -44,7 +52,7 @@ def record_id(segment: Column, ordinal: Column) -> Column:
 
 def record_text(page_id: Column, url: Column, segment: Column, ordinal: Column, body: Column, date: Column) -> Column:
     """One record without its closing line ends. A body that holds or begins like a record's beginning travels in base64."""
-    unsafe = body.contains(END + MARK) | body.startswith(MARK)
+    unsafe = body.contains(END + BEGIN) | body.startswith(BEGIN)
     block = F.when(unsafe, F.base64(F.encode(body, "utf-8"))).otherwise(body)
     return F.concat(
         F.lit(MARK + "WARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:"),
@@ -95,35 +103,55 @@ def write_replica(pages: DataFrame, path: str, body: Column | None = None, keep:
 
 
 def read_replica(spark: SparkSession, path: str) -> DataFrame:
-    """segment, ordinal, page_id, length (bytes with the closing line ends), digest, intact (its length is the one it names), and body.
+    """segment, file, position, offset, ordinal, page_id, length (bytes with the closing line ends), digest, intact (its length is the one it names), and body.
 
     Segments are the folders segment=N of write_replica; files in no such
-    folder are a segment for each file name (a hash of it). Records need their
-    ordinal's line; those without a legible one have a null ordinal.
+    folder are a segment for each file name (a hash of it). Records are
+    numbered as they stand in their file, and offsets are the real ones in it,
+    whatever the records say. `ordinal` is null where it is not legible.
     """
-    raw = spark.read.option("lineSep", END + MARK).text(path)
-    raw = raw.withColumn("segment", F.col("segment").cast("long") if "segment" in raw.columns else F.xxhash64("_metadata.file_name"))
-    whole = F.concat(F.lit(MARK), F.regexp_replace("value", r"\AWARC/1\.1\r\n", ""))
-    parts = raw.select("segment", whole.alias("record")).withColumn("cut", F.locate(END, "record"))
+    raw = spark.read.option("lineSep", END + BEGIN).text(path)
+    raw = raw.select(
+        F.col("segment").cast("long") if "segment" in raw.columns else F.xxhash64("_metadata.file_name").alias("segment"),
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("nth"), "value",
+    )
+    order = Window.partitionBy("segment", "file").orderBy("part", "nth")
+    # the reader takes the beginning of all records but the first of a file, and the closing line ends of all but the last
+    placed = raw.withColumns({"position": F.row_number().over(order) - 1, "last": F.lead("nth").over(order).isNull()})
+    whole = F.when(F.col("position") > 0, F.concat(F.lit(BEGIN), "value")).otherwise(F.col("value"))
+    parts = placed.withColumn("record", whole).withColumn("cut", F.locate(END, "record"))
+    bytes_ = F.octet_length("record") + F.when(F.col("last"), 0).otherwise(len(END))
+    parts = parts.withColumn("length", bytes_.cast("long"))
+    parts = parts.withColumn("offset", F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = parts.withColumn("closed", ~F.col("last") | F.col("record").endswith(END))
+    parts = parts.withColumn("record", F.when(F.col("last") & F.col("closed"), F.expr(f"substring(record, 1, length(record) - {len(END)})")).otherwise(F.col("record")))
     head = F.substring("record", 1, F.col("cut"))
-    block = F.expr(f"substring(record, cut + {len(END)})")
+    block = F.when(F.col("cut") > 0, F.expr(f"substring(record, cut + {len(END)})")).otherwise("")
     named = F.try_to_number(F.nullif(F.regexp_extract(head, r"Content-Length: (\d+)", 1), F.lit("")), F.lit("999999999999")).cast("long")
-    # the last record of a file still has its closing line ends: its own length tells
-    closed = F.coalesce((F.octet_length(block) == named + len(END)) & F.col("record").endswith(END), F.lit(False))
-    parts = parts.withColumn("record", F.when(closed, F.expr(f"substring(record, 1, length(record) - {len(END)})")).otherwise(F.col("record")))
     return parts.select(
-        "segment",
+        "segment", "file", F.col("position").cast("long").alias("position"), "offset",
         F.try_to_number(F.nullif(F.regexp_extract(head, r"WARC-Record-Ordinal: (\d+)", 1), F.lit("")), F.lit("999999999999")).cast("long").alias("ordinal"),
         F.regexp_extract(head, r"WARC-Page-ID: (-?\d+)", 1).try_cast("long").alias("page_id"),
-        (F.octet_length("record") + len(END)).cast("long").alias("length"),
+        "length",
         F.sha2("record", 256).alias("digest"),
-        F.coalesce(named == F.octet_length(block), F.lit(False)).alias("intact"),
+        F.coalesce((named == F.octet_length(block)) & F.col("closed"), F.lit(False)).alias("intact"),
         F.when(head.contains("Content-Transfer-Encoding: base64"), F.decode(F.unbase64(block), "utf-8")).otherwise(block).alias("body"),
-    )
+    )
+
+
+def leaves(records: DataFrame) -> DataFrame:
+    """segment, node, digest, start, length, page_id: a leaf for every record that was read, none left out."""
+    place = ["file", "position"]
+    own = Window.partitionBy("segment")
+    foreign = F.max("ordinal").over(own).isNull()
+    numbered = records.withColumn("ordinal", F.when(foreign, F.row_number().over(own.orderBy(*place)) - 1).otherwise(F.col("ordinal")).cast("long"))
+    nth = F.row_number().over(Window.partitionBy("segment", "ordinal").orderBy(*place)).cast("long")
+    node = F.when(F.col("ordinal").isNull(), -nth).otherwise(F.col("ordinal") + (nth - 1) * AGAIN)
+    return numbered.select("segment", node.alias("node"), "digest", F.col("offset").alias("start"), "length", "page_id")
 
 
 def tree(records: DataFrame) -> DataFrame:
-    """level, segment, node, digest, start, length: the records at level 0 and the nodes above them, all from one pass over the records' digests.
+    """level, segment, node, digest, start, length: the leaves (segment, node, digest, start, length) at level 0 and the nodes above them, all from one pass over the records' digests.
 
     A node's digest covers the ranges of its children counted from its own
     start: a record that is missing changes the nodes above it, and not those
@@ -133,11 +161,7 @@ def tree(records: DataFrame) -> DataFrame:
     def ranges(children: Column) -> Column:
         return F.array_join(F.transform(children, lambda x: F.concat_ws(":", (x.start - F.get(children, F.lit(0)).start).cast("string"), x.length.cast("string"), x.digest)), ";")
 
-    upto = Window.partitionBy("segment").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    level = records.filter("ordinal is not null").groupBy("segment", F.col("ordinal").alias("node")).agg(F.max(F.struct("digest", "length")).alias("r"))
-    level = level.select("segment", "node", "r.digest", "r.length")
-    level = level.withColumn("start", F.coalesce(F.sum("length").over(upto.orderBy("node")), F.lit(0)))
-    level = stored(level.select(F.lit(0).alias("level"), "segment", "node", "digest", "start", "length"), "warc-level")
+    level = stored(records.select(F.lit(0).alias("level"), "segment", "node", "digest", "start", "length"), "warc-level")
     whole = level
     for n in range(1, LEVELS + 1):
         above = F.floor(F.col("node") / FAN) if n < LEVELS else F.lit(0).cast("long")
@@ -152,7 +176,7 @@ def tree(records: DataFrame) -> DataFrame:
 
 
 def mismatches(one: DataFrame, two: DataFrame) -> DataFrame:
-    """segment, ordinal, digest_a, digest_b of the records that differ or that one replica lacks, found by descending from differing roots."""
+    """segment, node, digest_a, digest_b of the leaves that differ or that one replica lacks, found by descending from differing roots."""
 
     def at(t: DataFrame, n: int, side: str) -> DataFrame:
         return t.filter(F.col("level") == n).select("segment", "node", F.col("digest").alias(f"digest_{side}"))
@@ -164,32 +188,42 @@ def mismatches(one: DataFrame, two: DataFrame) -> DataFrame:
         open_ = found.select("segment", F.col("node").alias("above"))
         below = [at(t, n, side).withColumn("above", above).join(open_, ["segment", "above"], "left_semi").drop("above") for t, side in ((one, "a"), (two, "b"))]
         found = below[0].join(below[1], ["segment", "node"], "full").filter(differ)
-    return found.withColumnRenamed("node", "ordinal")
+    return found
 
 
 def audit(spark: SparkSession, path_a: str, path_b: str) -> DataFrame:
     """One row per record of either replica: page_id, segment, ordinal, record_offset, record_length, sha256_a, sha256_b, status.
 
-    status: ok, corrupt (the two differ), missing_in_a, missing_in_b. Offsets
-    and lengths are those in replica a's uncompressed segment, or null where
-    it lacks the record. A record whose own ordinal can't be read any more is
-    missing in its replica. Two empty replicas give an empty result.
+    status: ok; corrupt (the two differ); missing_in_a, missing_in_b; and of
+    records that only one replica has and that are none of the others' at all
+    extra_in_a, extra_in_b (an ordinal that was there before) and
+    unreadable_in_a, unreadable_in_b (no legible ordinal, so the record that
+    it was is missing as well). A repeated or unreadable record that both have
+    alike is ok, as the replicas are equal. Offsets and lengths are those in
+    replica a's uncompressed file, or in b's where a lacks the record. Two
+    empty replicas give an empty result.
     """
-    a, b = (stored(read_replica(spark, p).drop("body"), "warc-records") for p in (path_a, path_b))
+    a, b = (stored(leaves(read_replica(spark, p).drop("body")), "warc-records") for p in (path_a, path_b))
     tree_a, tree_b = (stored(tree(r), "warc-tree") for r in (a, b))
-    bad = mismatches(tree_a, tree_b).select("segment", "ordinal", F.col("digest_b").alias("bad_b"), F.lit(True).alias("bad"))
-    leaves = tree_a.filter("level = 0").select("segment", F.col("node").alias("ordinal"), F.col("digest").alias("sha256_a"), "start", "length")
-    ids = a.select("segment", "ordinal", "page_id").unionByName(b.select("segment", "ordinal", "page_id")).filter("ordinal is not null").groupBy("segment", "ordinal").agg(F.max("page_id").alias("page_id"))
-    rows = leaves.join(bad, ["segment", "ordinal"], "full").join(ids, ["segment", "ordinal"], "left")
-    status = F.when(F.col("bad").isNull(), "ok").when(F.col("sha256_a").isNull(), "missing_in_a").when(F.col("bad_b").isNull(), "missing_in_b").otherwise("corrupt")
+    bad = mismatches(tree_a, tree_b).select("segment", "node", "digest_a", "digest_b", F.lit(True).alias("bad"))
+    here = a.select("segment", "node", F.col("digest").alias("sha256_a"), "start", "length", "page_id")
+    there = b.join(bad.filter("digest_a is null"), ["segment", "node"], "left_semi").select("segment", "node", F.lit(None).cast("string").alias("sha256_a"), "start", "length", "page_id")
+    rows = here.unionByName(there).join(bad, ["segment", "node"], "left")
+    # an id that a's damaged record no longer tells is b's
+    told = b.join(bad, ["segment", "node"], "left_semi").select("segment", "node", F.col("page_id").alias("page_b"))
+    rows = rows.join(told, ["segment", "node"], "left")
+    lacks = F.when(F.col("digest_b").isNull(), "a").otherwise("b")
+    kind = F.when(F.col("node") < 0, "unreadable_in_").when(F.col("node") >= AGAIN, "extra_in_")
+    other = F.when(F.col("digest_b").isNull(), "missing_in_b").otherwise("missing_in_a")
+    status = F.when(F.col("bad").isNull(), "ok").when(F.col("digest_a").isNotNull() & F.col("digest_b").isNotNull(), "corrupt").otherwise(F.coalesce(F.concat(kind, lacks), other))
     return rows.select(
-        "page_id",
+        F.coalesce("page_id", "page_b").alias("page_id"),
         "segment",
-        "ordinal",
+        F.when(F.col("node") >= 0, F.col("node") % AGAIN).alias("ordinal"),
         F.col("start").alias("record_offset"),
         F.col("length").alias("record_length"),
         "sha256_a",
-        F.when(F.col("bad").isNull(), F.col("sha256_a")).otherwise(F.col("bad_b")).alias("sha256_b"),
+        F.when(F.col("bad").isNull(), F.col("sha256_a")).otherwise(F.col("digest_b")).alias("sha256_b"),
         status.alias("status"),
     )
 

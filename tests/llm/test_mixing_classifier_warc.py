@@ -1,8 +1,10 @@
+import gzip
 import math
 import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from casemart.llm import classifier, mixing, warc_audit
@@ -137,10 +139,15 @@ def test_records_are_valid_and_told_apart(spark):
 
 def test_a_missing_record_changes_only_the_nodes_above_it(spark):
     records = spark.range(600).select(F.lit(0).cast("long").alias("segment"), F.col("id").alias("ordinal"), F.sha2(F.col("id").cast("string"), 256).alias("digest"), (F.col("id") % 7 + 10).alias("length"))
-    one, two = warc_audit.tree(records), warc_audit.tree(records.filter("ordinal <> 300"))
+
+    def leaves(rows):
+        start = F.coalesce(F.sum("length").over(Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return rows.select("segment", F.col("ordinal").alias("node"), "digest", start.alias("start"), "length")
+
+    one, two = warc_audit.tree(leaves(records)), warc_audit.tree(leaves(records.filter("ordinal <> 300")))
     both = one.select("level", "node", F.col("digest").alias("a")).join(two.select("level", "node", F.col("digest").alias("b")), ["level", "node"])
     assert sorted((r.level, r.node) for r in both.filter("a <> b").collect()) == [(1, 300 // 16), (2, 300 // 256), (3, 0)]
-    moved = warc_audit.tree(records.withColumn("length", F.when(F.col("ordinal") == 5, F.col("length") + 1).otherwise(F.col("length"))))
+    moved = warc_audit.tree(leaves(records.withColumn("length", F.when(F.col("ordinal") == 5, F.col("length") + 1).otherwise(F.col("length")))))
     assert moved.filter("level = 3").first().digest != one.filter("level = 3").first().digest
 
 
@@ -152,6 +159,71 @@ def test_files_in_no_segment_folder_are_read(spark, tmp_path):
     assert len(got) == 9 and len({r.segment for r in got}) == 1 and all(r.intact for r in got)
 
 
+def record(ordinal, body, page=1, version="1.1"):
+    """A record's bytes; without an ordinal as another tool writes it."""
+    own = f"WARC-Page-ID: {page}\r\nWARC-Record-Ordinal: {ordinal}\r\n" if ordinal is not None else ""
+    return f"WARC/{version}\r\nWARC-Type: resource\r\n{own}Content-Length: {len(body.encode())}\r\n\r\n{body}\r\n\r\n".encode()
+
+
+def replica(folder, **files):
+    """A replica of files of records."""
+    folder.mkdir()
+    for name, records in files.items():
+        (folder / f"{name}.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    return str(folder)
+
+
+def statuses(spark, a, b):
+    return sorted((r.status, r.ordinal, r.record_offset, r.record_length) for r in warc_audit.audit(spark, a, b).collect() if r.status != "ok")
+
+
+def test_repeated_and_unreadable_records_are_reported(spark, tmp_path):
+    good = [record(k, f"body {k}", k) for k in range(20)]
+    foreign = record(None, "from elsewhere")
+    a = replica(tmp_path / "a", one=good)
+    b = replica(tmp_path / "b", one=[*good[:5], good[3], *good[5:], foreign])
+    at = [sum(map(len, good[:5])), sum(map(len, good)) + len(good[3])]
+    assert statuses(spark, a, b) == [("extra_in_b", 3, at[0], len(good[3])), ("unreadable_in_b", None, at[1], len(foreign))]
+    assert [s[0] for s in statuses(spark, b, a)] == ["extra_in_a", "unreadable_in_a"]
+    assert statuses(spark, b, b) == [] and warc_audit.audit(spark, b, b).count() == 22
+    # a record whose ordinal is damaged is missing, and what stands there instead is told; offsets behind it stay real
+    hurt = good[7].replace(b"Ordinal: 7", b"Ordinal: ?")
+    c = replica(tmp_path / "c", one=[*good[:7], hurt, *good[8:9], record(9, "BODY 9", 9), *good[10:]])
+    before = sum(map(len, good[:7]))
+    assert statuses(spark, a, c) == [("corrupt", 9, before + len(good[7]) + len(good[8]), len(good[9])), ("missing_in_b", 7, before, len(good[7])), ("unreadable_in_b", None, before, len(hurt))]
+    assert [s[1:3] for s in statuses(spark, c, a)] == [(9, before + len(hurt) + len(good[8])), (7, before), (None, before)]
+
+
+@pytest.mark.parametrize("version", ["1.0", "1.1"])
+def test_replicas_of_another_tool_go_by_position(spark, tmp_path, version):
+    rows = [record(None, f"page {k}", version=version) for k in range(40)]
+    a = replica(tmp_path / "a", one=rows[:25], two=rows[25:])
+    b = replica(tmp_path / "b", one=[*rows[:3], record(None, "other", version=version), *rows[4:25]], two=rows[25:])
+    assert [s[:2] for s in statuses(spark, a, b)] == [("corrupt", 3)]
+    assert warc_audit.audit(spark, a, b).count() == 40
+    single = [replica(tmp_path / n, one=[record(None, n)]) for n in ("x", "y")]
+    assert [s[0] for s in statuses(spark, *single)] == ["corrupt"]
+
+
+def test_added_line_ends_and_a_lost_end_are_damage(spark, tmp_path):
+    good = [record(k, f"body {k}", k) for k in range(4)]
+    a = replica(tmp_path / "a", one=good)
+    assert [s[:2] for s in statuses(spark, a, replica(tmp_path / "b", one=[good[0], good[1] + b"\r\n\r\n", *good[2:]]))] == [("corrupt", 1)]
+    cut = replica(tmp_path / "c", one=[*good[:3], good[3][:-9]])
+    assert [s[:2] for s in statuses(spark, a, cut)] == [("corrupt", 3)]
+    assert [r.ordinal for r in warc_audit.read_replica(spark, cut).filter("not intact").collect()] == [3]
+
+
+def test_warc_of_awkward_pages(spark, messy, nothing):
+    """The shared awkward rows as pages, with columns of clashing names."""
+    pages = messy.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), "start", "node", "bucket", F.lit("x").alias("segment"))
+    a, b = scratch(spark, "test-warc"), scratch(spark, "test-warc")
+    for path in (a, b):
+        warc_audit.write_replica(pages, path, segments=3)
+    got = warc_audit.audit(spark, a, b).collect()
+    assert len(got) == messy.count() and {r.status for r in got} == {"ok"}
+
+
 def test_audit_of_nothing(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     a = scratch(spark, "test-warc")
