@@ -26,6 +26,17 @@ def legacy_rate(count: Column, population: Column, scale: int = config.RATE_SCAL
     return F.when(population > 0, F.round(count / (config.LEGACY_YEARS if annual else 1) / population * scale, 2))
 
 
+#: The five measures of the published map: whether by year, and the scale of a rate.
+DISPLAYED = {"total": (False, None), "media_anual": (True, None), "total_10k": (False, 10_000), "taxa_anual_10k": (True, 10_000), "taxa_anual_100k": (True, 100_000)}
+
+
+def displayed(measure: str, count: Column, population: Column) -> Column:
+    """A count as one of DISPLAYED, with the fixed divisor of years. As on the map a missing count is 0, and so is a rate without a population; an unknown measure is the count."""
+    annual, scale = DISPLAYED.get(measure, (False, None))
+    n = F.coalesce(count, F.lit(0)) / (config.LEGACY_YEARS if annual else 1)
+    return n if scale is None else F.when(population > 0, n / population * scale).otherwise(0.0)
+
+
 def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, 100 * part / whole)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -132,8 +132,25 @@ def reliable(id_column: Column, value: Column) -> Column:
     return F.coalesce((tx.normal_key(id_column) == "hash") & (value != ""), F.lit(False)).cast("long")
 
 
-def summary(classified: DataFrame, top: int = 10) -> dict[str, DataFrame]:
-    """The distributions of a classified batch: degree, category, agency, reason."""
-    from ..operators.aggregate import value_counts
+#: What a batch's summary shows, and how many values of each at most.
+SUMMED = {"grau_certeza": None, "categoria_penal": 10, "orgao_prioritario": 5}
+
+
+def summary(classified: DataFrame, tops: dict[str, int | None] = SUMMED) -> DataFrame:
+    """field, position, value, n, share of a classified batch: all, penal and social records, then the most frequent values of each field.
+
+    One aggregate over the fields' values; equal counts go by value. An empty
+    batch has three rows of 0 without a share.
+    """
+    kinds = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in tops])
+    counts = classified.select(F.inline(kinds)).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    nth = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), F.asc_nulls_last("value")))  # a row for each value
+    limits = F.create_map(*[F.lit(x) for c, n in tops.items() for x in (c, n or 2**31 - 1)])
+    ranked = counts.withColumn("position", nth).filter(F.col("position") <= limits[F.col("field")])
+    penal = F.coalesce(F.sum("indicio_penal"), F.lit(0))
+    totals = classified.agg(F.count(F.lit(1)).alias("records"), penal.alias("penal"))
+    rows = F.array(*[F.struct(F.lit("registros").alias("field"), F.lit(k).alias("position"), F.lit(v).alias("value"), n.alias("n")) for k, (v, n) in enumerate((("total", F.col("records")), ("penal", F.col("penal")), ("social", F.col("records") - F.col("penal"))), 1)])
+    whole = totals.select(F.inline(rows)).unionByName(ranked)
+    return whole.crossJoin(F.broadcast(totals)).select("field", "position", "value", "n", F.when(F.col("records") > 0, F.round(100 * F.col("n") / F.col("records"), 1)).alias("share"))
+
 
-    return {c: value_counts(classified, c).limit(top) for c in ("grau_certeza", "categoria_penal", "orgao_prioritario", "motivo_reforco")}

@@ -254,6 +254,21 @@ def displayed_range(spark, sf_dir):
     return rated.agg(F.round(F.min("rate"), 4).alias("low"), F.round((F.min("rate") + F.max("rate")) / 2, 4).alias("middle"), F.round(F.max("rate"), 4).alias("high"))
 
 
+_MEASURED = {"total": "p", "media_anual": "p / 16.0", "total_10k": "coalesce(CASE WHEN population > 0 THEN p / population * 10000 END, 0)", "taxa_anual_10k": "coalesce(CASE WHEN population > 0 THEN p / 16.0 / population * 10000 END, 0)", "taxa_anual_100k": "coalesce(CASE WHEN population > 0 THEN p / 16.0 / population * 100000 END, 0)"}
+
+
+@BOOK.add(FACT + f""", {POPULATION}, t AS (SELECT territory, count_if(penal) AS p, any_value(population) AS population FROM fact LEFT JOIN pop USING (territory) GROUP BY territory),
+v AS ({" UNION ALL ".join(f"SELECT territory, '{n}' AS measure, CAST({e} AS DOUBLE) AS v FROM t" for n, e in _MEASURED.items())})
+SELECT territory, measure, round(v, 4) AS value, round(min(v) OVER (PARTITION BY measure), 4) AS low, round(max(v) OVER (PARTITION BY measure), 4) AS high FROM v""")
+def displayed_measures(spark, sf_dir):
+    """Every territory's penal records as each of the five measures, beside the measure's range over all territories."""
+    rows = grains(fact(spark, sf_dir), ["territory"]).join(population(spark, sf_dir), "territory", "left")
+    values = F.array(*[F.struct(F.lit(n).alias("measure"), m.displayed(n, F.col("penal"), F.col("population")).cast("double").alias("v")) for n in m.DISPLAYED])
+    each = rows.select("territory", F.inline(values))
+    ends = each.groupBy("measure").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    return each.join(F.broadcast(ends), "measure").select("territory", "measure", *[F.round(c, 4).alias(n) for c, n in (("v", "value"), ("low", "low"), ("high", "high"))])
+
+
 @BOOK.add(FACT + f""", {POPULATION}, t AS (SELECT territory_name, count_if(penal) AS p, any_value(population) AS population FROM fact LEFT JOIN pop USING (territory) GROUP BY territory_name),
 r AS (SELECT *, CASE WHEN population > 0 THEN p / population * 10000 END AS rate FROM t)
 SELECT (SELECT territory_name FROM r WHERE rate IS NOT NULL ORDER BY rate DESC, territory_name DESC LIMIT 1) AS leader, round(max(rate), 4) AS leader_rate,

@@ -9,7 +9,8 @@ from ..functions import measures as m
 from ..operators import aggregate as agg
 from ..operators import rank
 from ..operators.middle import medians
-from ..scratch import stored
+from ..scratch import scratch, stored
+from ..sources import files
 from . import geography
 from .proxy import FACT, FLAGS, POPULATION, Book, fact, population, table
 
@@ -204,6 +205,32 @@ def distance_matrix(spark, sf_dir):
     return geography.distance_matrix(geography.municipal_points(mesh, dim), units).select("municipio_nome", "nearest", "nearest_town", "km", "band")
 
 
+# Areas of a mesh file, a customer each: a square, two squares of which one has a hole, or a point; one in eleven has no code.
+_AREA = """WITH a AS (SELECT c_custkey AS k, CAST(c_custkey * 3 % 80 - 60 AS DOUBLE) AS x, CAST(c_custkey * 7 % 60 - 50 AS DOUBLE) AS y FROM customer WHERE c_custkey % 11 <> 5),
+m AS (SELECT k, CASE k % 3 WHEN 0 THEN -50.21 WHEN 1 THEN x + 1 ELSE round((4 * (x + 1) + (x + 10.5)) / 5, 5) END AS lng, CASE k % 3 WHEN 0 THEN -27.24 WHEN 1 THEN y + 1 ELSE round((4 * (y + 1) + (y + 5.5)) / 5, 5) END AS lat FROM a)"""
+
+
+@BOOK.add(_AREA + f", f AS ({_FACILITY}), d AS (SELECT k, lat, lng, sigla, {_KM} AS km, row_number() OVER (PARTITION BY k ORDER BY {_KM}, sigla) AS nth FROM m, f WHERE flat <> 0 AND flng <> 0) SELECT CAST(k AS VARCHAR) AS ibge_code, lat, lng, sigla AS nearest, round(km, 1) AS km FROM d WHERE nth = 1")
+def mesh_from_files(spark, sf_dir):
+    """GeoJSON from file to distance matrix: areas of three kinds of geometry, whose coordinates are not equally deep, in several collections."""
+    k, out = F.col("c_custkey"), scratch(spark, "mesh")
+    x, y = (k * 3 % 80 - 60).cast("double"), (k * 7 % 60 - 50).cast("double")
+
+    def square(dx, dy, side):
+        return F.array(*[F.array(x + dx + a * side, y + dy + b * side) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+
+    kind = F.when(k % 3 == 0, "Point").when(k % 3 == 1, "Polygon").otherwise("MultiPolygon")
+    depth = F.when(k % 3 == 0, F.to_json(F.array(x, y))).when(k % 3 == 1, F.to_json(F.array(square(0, 0, 2)))).otherwise(F.to_json(F.array(F.array(square(0, 0, 2), square(0.5, 0.5, 1)), F.array(square(10, 5, 1)))))
+    code = F.when(k % 11 == 5, " ").otherwise(k.cast("string"))
+    feature = F.concat(F.lit('{"type":"Feature","properties":{"codarea":"'), code, F.lit('"},"geometry":{"type":"'), kind, F.lit('","coordinates":'), depth, F.lit("}}"))
+    people = table(spark, sf_dir, "customer")
+    features = people.select(F.floor(k / 500).alias("file"), feature.alias("f")).groupBy("file").agg(F.collect_list("f").alias("all"))  # 500 areas a file
+    features.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("all", ",\n"), F.lit("]}")).alias("value")).repartition("value").write.option("maxRecordsPerFile", 1).text(out)
+    dim = people.select(k.cast("string").alias("ibge_code"))
+    units = _units(spark, sf_dir).withColumn("municipio", F.lit(""))
+    return geography.distance_matrix(geography.municipal_points(files.read_mesh(spark, out), dim), units).select("ibge_code", "lat", "lng", "nearest", "km")
+
+
 @BOOK.add("""WITH o AS (SELECT o_custkey, list([CAST(o_orderkey % 90 AS DOUBLE), CAST(o_orderkey % 45 AS DOUBLE)] ORDER BY o_orderkey) AS coords FROM orders GROUP BY 1)
 SELECT count(*) AS axes, count_if(o_custkey % 3 = 0) AS federal, count_if(o_custkey % 3 <> 0) AS state, CAST(sum(len(coords)) AS BIGINT) AS points FROM o""")
 def road_axes(spark, sf_dir):

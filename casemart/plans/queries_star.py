@@ -10,7 +10,7 @@ from ..operators import audit, harmonise
 from ..scratch import scratch
 from ..sources import files
 from ..streaming import facts
-from . import geography, slices, star
+from . import classify, geography, slices, star
 from .proxy import Book, table
 from .proxy_star import COUNTS, STAR, built, dimension, distances, era_by_era
 
@@ -44,6 +44,16 @@ def star_category(spark, sf_dir):
     return built(spark, sf_dir)["kpi_category"]
 
 
+@BOOK.add(STAR + """, c AS (SELECT 'grau_certeza' AS field, 9 AS most, grau_certeza AS value, count(*) AS n FROM fact GROUP BY ALL UNION ALL SELECT 'categoria_penal', 10, categoria_penal, count(*) FROM fact GROUP BY ALL UNION ALL SELECT 'orgao_prioritario', 5, orgao_prioritario, count(*) FROM fact GROUP BY ALL),
+r AS (SELECT field, CAST(row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS INTEGER) AS position, value, n, most FROM c),
+t AS (SELECT count(*) AS records, CAST(sum(indicio_penal) AS BIGINT) AS penal FROM fact),
+a AS (SELECT field, position, value, n FROM r WHERE position <= most UNION ALL SELECT 'registros', 1, 'total', records FROM t UNION ALL SELECT 'registros', 2, 'penal', penal FROM t UNION ALL SELECT 'registros', 3, 'social', records - penal FROM t)
+SELECT a.*, round(100 * n / records, 1) AS share FROM a, t""")
+def batch_summary(spark, sf_dir):
+    """What a classified batch amounts to: penal and social records, degrees, the most frequent categories and agencies."""
+    return classify.summary(built(spark, sf_dir)["fact"])
+
+
 @BOOK.add(STAR + f"SELECT 'period' AS kind, ibge_code, ano, semestre, {', '.join(COUNTS)} FROM kp UNION ALL SELECT 'all', ibge_code, NULL, NULL, {', '.join(COUNTS)} FROM mun")
 def star_from_stream(spark, sf_dir):
     """The files of the three eras as they come in, each go classified and merged into the indicator tables, and the second one run once more as after a failure."""

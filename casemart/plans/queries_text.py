@@ -270,3 +270,32 @@ def distance_records(spark, sf_dir):
     record = F.struct(F.col("n_name").alias("municipio"), F.when(n % 4 == 0, n + 0.5).alias("distancia_pci_km_linha_reta"), (n + 100.25).alias("distancia_pci_km"), F.concat(F.lit("u"), n % 3).alias("pci_proxima"))
     rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(n.cast("string"), record)))).alias("j"))
     return files.distances(rows, "j").select("ibge_code", "municipio", "km", "pci_proxima")
+
+
+@BOOK.add("""SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'PCI/SR/NR' || s_suppkey ELSE 'NUC' END AS sigla, 'town ' || s_nationkey AS municipio, CAST(s_suppkey % 40 AS DOUBLE) AS lat, 'nr' || s_suppkey || '@pci.gov.br' AS email,
+  CASE WHEN s_suppkey % 2 = 0 THEN CASE WHEN s_suppkey % 10 = 0 THEN 'Avenida B ' || s_suppkey ELSE 'Rua A ' || s_suppkey END WHEN s_suppkey % 5 <> 0 THEN 'Praça C' ELSE '' END AS endereco,
+  CASE WHEN s_suppkey % 2 = 0 THEN '(48) 3333-' || lpad(CAST(s_suppkey % 10000 AS VARCHAR), 4, '0') WHEN s_suppkey % 5 <> 0 THEN '(49) 99999-1234' ELSE '' END AS telefone,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'Segunda a Sexta 08h' ELSE '' END AS horario_medicina_legal, s_suppkey % 2 = 0 AS tem_medicina_legal, s_suppkey % 5 <> 0 AS tem_criminalistica, s_suppkey % 7 = 1 AS tem_identificacao FROM supplier""")
+def unit_pages(spark, sf_dir):
+    """From pages to the facility dimension: a page for each supplier, whose services stand under headings, one of them told twice."""
+    k = F.col("s_suppkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("Núcleo Regional de Polícia Científica em X – PCI/SR/NR"), k)).otherwise("Núcleo Regional de Polícia Científica em X")
+    legal = F.concat(F.lit("<section><h3>Medicina Legal</h3>\n<p>Rua A "), k, F.lit(" (térreo)</p>\n<p>(48) 3333-"), F.lpad((k % 10_000).cast("string"), 4, "0"), F.lit("</p>\nSegunda a Sexta 08h\n</section>"))
+    again = F.concat(F.lit("<section>MEDICINA LEGAL<br>Avenida B "), k, F.lit(" (novo)</section>"))
+    crime = F.lit("<div><b>Criminalística</b> Praça C (fundos) Tel. (49) 99999-1234</div>")
+    ident = F.lit("<article>IDENTIFICAÇÃO civil</article>")
+    html = F.concat(
+        F.lit("<html><script>var x = 'MEDICINA LEGAL';</script><h1>"), name, F.lit("</h1>\n<p>Perito Regional Fulano</p>\n<p>nr"), k, F.lit("@pci.gov.br</p>\n"),
+        F.when(k % 2 == 0, legal).otherwise(""), F.when(k % 5 != 0, crime).otherwise(""), F.when(k % 7 == 1, ident).otherwise(""), F.when(k % 10 == 0, again).otherwise(""), F.lit("</html>"),
+    )
+    pages = table(spark, sf_dir, "supplier").select(k.alias("page_id"), html.alias("html"), F.concat(F.lit("town "), "s_nationkey").alias("municipio"), (k % 40).cast("double").alias("latitude"))
+    found = files.facilities(files.page_units(pages))
+    return found.select(F.when(F.col("sigla").startswith("PCI"), F.col("sigla")).otherwise("NUC").alias("sigla"), "municipio", "lat", "email", "endereco", "telefone", "horario_medicina_legal", "tem_medicina_legal", "tem_criminalistica", "tem_identificacao")
+
+
+@BOOK.add("""WITH v AS (SELECT regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages)
+SELECT count(*) AS pages, CAST(sum(len(regexp_extract_all(t, '(?i)nicht|the '))) + count(*) AS BIGINT) AS parts, CAST(sum(len(regexp_extract_all(t, '(?i)nicht'))) AS BIGINT) AS nicht, CAST(sum(length(t)) AS BIGINT) AS characters FROM v""")
+def page_parts(spark, sf_dir):
+    """All pages cut at two words: parts, those of one word, and all their characters, of which none is lost."""
+    parts = files.page_sections(table(spark, sf_dir, "pages"), headings={"nicht": "NICHT", "the": "THE "})
+    return parts.agg(F.count_if(F.col("nth") == 0).alias("pages"), F.count(F.lit(1)).alias("parts"), F.count_if(F.col("service") == "nicht").alias("nicht"), F.sum(F.length("body")).alias("characters"))

@@ -273,3 +273,77 @@ def page_records(pages: DataFrame, key: str = "page_id", html: str = "html", pat
     """A row of fields for every page, empty where a pattern finds nothing; line ends stay, as patterns stop at them."""
     body = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
     return pages.select(key, body.alias("_t")).select(key, *[tx.collapse(F.regexp_extract("_t", p, 1)).alias(n) for n, p in (patterns or UNIT_PATTERNS).items()])
+
+
+# What heads a service's part of a unit's page, and what such a part tells.
+SERVICE_HEADINGS = {"medicina_legal": "MEDICINA LEGAL", "criminalistica": "CRIMINALÍSTICA", "identificacao": "IDENTIFICAÇÃO"}
+SERVICE_PATTERNS = {
+    "telefone": r"(\(\d{2}\)\s*\d{4,5}-?\d{4})",
+    "endereco": r"(?i)((?:Rua|Avenida|Av\.|Rodovia|Travessa|Praça)[^–\(]+(?:–\s*[\w\s]+)?)",
+}
+#: Hours, which the page may tell in a line of its own.
+HOURS = r"(?i)((?:Segunda|Plantão|Todos os dias)[^\n\r]*\d\s*h[^\n\r]*)"
+_CUT = "\x01"
+
+
+def page_sections(pages: DataFrame, key: str = "page_id", html: str = "html", headings: dict[str, str] = SERVICE_HEADINGS) -> DataFrame:
+    """key, nth, service, body: the visible text of every page, cut where a heading begins; part 0, before the first one, has no service.
+
+    Headings are found in either case. A null page has one empty part; tags
+    and scripts are no text, line ends stay.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
+    any_ = "|".join(re.escape(h) for h in headings.values())
+    marked = F.regexp_replace(F.translate(text, _CUT, " "), f"(?iu)({any_})", f"{_CUT}$1")
+    parts = pages.select(F.col(key), F.posexplode(F.split(marked, _CUT)).alias("nth", "body"))
+    head = F.upper("body")
+    service = F
+    for name, heading in headings.items():
+        service = service.when((F.col("nth") > 0) & head.startswith(heading), name)
+    return parts.select(key, "nth", service.otherwise(F.lit(None)).alias("service"), "body")
+
+
+def page_units(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """The nested unit (schema FACILITY) of every page, with its key: fields of the page, and of each service those of its parts.
+
+    A service is there if the page has a part for it; where several parts tell
+    a field, the last one counts. What `pages` knows of a unit (slug, municipio,
+    ibge_code, latitude, longitude, rodovia_principal, url_oficial) is taken
+    over, else null.
+    """
+    parts = page_sections(pages, key, html)
+    fields = {n: tx.collapse(F.regexp_extract("_flat", p, 1)) for n, p in SERVICE_PATTERNS.items()} | {"horario": tx.collapse(F.regexp_extract("body", HOURS, 1)), "nome": tx.collapse(F.regexp_extract("body", r"^([^\n\r(:<]{1,80})", 1))}
+    told = parts.filter("service is not null").withColumn("_flat", tx.collapse(F.col("body"))).select(key, "nth", "service", *[F.nullif(v, F.lit("")).alias(n) for n, v in fields.items()])
+    last = told.groupBy(key, "service").agg(*[F.max(F.when(F.col(n).isNotNull(), F.struct("nth", n)))[n].alias(n) for n in fields])
+    one = F.struct(F.lit(True).alias("disponivel"), *[F.col(n) for n in ("nome", "endereco", "telefone", "horario")])
+    nested = last.groupBy(key).agg(F.struct(*[F.first(F.when(F.col("service") == s, one), ignorenulls=True).alias(s) for s in SERVICE_HEADINGS]).alias("servicos"))
+    known = {c: F.col(c).cast(t) if c in pages.columns else F.lit(None).cast(t) for c, t in (("slug", "string"), ("municipio", "string"), ("ibge_code", "string"), ("latitude", "double"), ("longitude", "double"), ("rodovia_principal", "string"), ("url_oficial", "string"))}
+    own = pages.select(F.col(key), *[v.alias(n) for n, v in known.items()])
+    whole = own.join(page_records(pages, key, html).select(key, "nome_unidade", "vinculacao", "responsavel", "email"), key).join(nested, key, "left")
+    return whole
+
+
+def read_mesh(spark: SparkSession, path: str) -> DataFrame:
+    """codarea, kind, polygons (schema geography.MESH) of GeoJSON files, each a collection of features or one feature.
+
+    Coordinates are as deep as the kind of geometry says, so a file's values
+    are read as variants and each feature by its kind. A Polygon is one
+    polygon; other kinds have none; features without a code drop out.
+    """
+    values = spark.read.format("json").option("singleVariantColumn", "v").option("multiLine", True).load(path)
+    return mesh_features(values)
+
+
+def mesh_features(values: DataFrame, column: str = "v") -> DataFrame:
+    """The features of variants that are collections or single features."""
+
+    def get(v: str, where: str, kind: str) -> Column:
+        return F.try_variant_get(F.col(v), where, kind)
+
+    several = F.coalesce(get(column, "$.features", "array<variant>"), F.array(F.col(column)))
+    rows = values.select(F.explode(several).alias("f"))
+    kind = get("f", "$.geometry.type", "string")
+    ring = "array<array<array<double>>>"
+    shapes = F.when(kind == "Polygon", F.array(get("f", "$.geometry.coordinates", ring))).when(kind == "MultiPolygon", get("f", "$.geometry.coordinates", f"array<{ring}>")).otherwise(F.array().cast(f"array<{ring}>"))
+    code = F.btrim(F.coalesce(get("f", "$.properties.codarea", "string"), F.lit("")))
+    return rows.select(code.alias("codarea"), kind.alias("kind"), shapes.alias("polygons")).filter("codarea <> ''")
