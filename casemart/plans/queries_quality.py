@@ -13,10 +13,10 @@ from .proxy import Book, table
 BOOK = Book()
 
 
-@BOOK.add("WITH o AS (SELECT *, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS s FROM orders) " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({e}) AS n_null, count(DISTINCT {e}) AS n_distinct FROM o" for c, e in (("o_orderkey", "o_orderkey"), ("o_custkey", "o_custkey"), ("o_orderstatus", "s"), ("o_orderpriority", "o_orderpriority"))))
+@BOOK.add("WITH o AS (SELECT *, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS s FROM orders) " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({e}) AS n_null, count(DISTINCT {e}) AS n_distinct FROM o" for c, e in (("o_orderkey", "o_orderkey"), ("o_custkey", "o_custkey"), ("o_orderstatus", "s"), ("o_totalprice", "o_totalprice"), ("o_orderdate", "o_orderdate"), ("o_orderpriority", "o_orderpriority"))))
 def null_profile(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("o_orderstatus"), "o_orderpriority")
-    return audit.null_profile(rows)
+    """All columns of the orders, of which one has nulls."""
+    return audit.null_profile(table(spark, sf_dir, "orders").withColumn("o_orderstatus", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))))
 
 
 @BOOK.add("WITH e AS (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 3 = 0) SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM e)) AS distinct_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM e)) AS duplicates FROM e")
@@ -44,31 +44,45 @@ def stratified_exact_sample(spark, sf_dir):
     return sampling.stratified(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", "event_id", 500)
 
 
+#: The columns of every table by how both engines write them: plain, numbers with a fraction as millionths, times as microseconds, vectors by their elements.
 PRINTED = {
-    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "supplier": ("s_suppkey", "s_name", "s_nationkey"),
-    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"),
-    "events": ("event_id", "user_id", "event_type", "props"), "documents": ("doc_id", "text", "lang", "source", "n_chars"), "pages": ("page_id", "url", "html"), "benchmark": ("item_id", "text"), "labels": ("doc_id", "quality", "toxic"), "conversations": ("conv_id", "turn", "role", "text"), "embeddings": (),
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_mktsegment c_acctbal/f", "supplier": "s_suppkey s_name s_nationkey s_acctbal/f",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice/f", "orders": "o_orderkey o_custkey o_orderstatus o_orderpriority o_totalprice/f o_orderdate/t",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_returnflag l_linestatus l_quantity/f l_extendedprice/f l_discount/f l_tax/f l_shipdate/t",
+    "events": "event_id user_id event_type props value/f ts/t", "documents": "doc_id text lang source n_chars", "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text", "embeddings": "vec_id label embedding/v",
 }
 
 
-def _print_sql(t: str, columns: tuple[str, ...]) -> str:
-    row = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns or ("1",)) + ")"
+def _written(column: str, sql: bool):
+    """A column of PRINTED, for DuckDB or for Spark."""
+    name, _, kind = column.partition("/")
+    whole = "CAST(round(CAST({} AS DOUBLE) * 1000000) AS BIGINT)"
+    if kind == "v":
+        return f"array_to_string(list_transform({name}, lambda x: {whole.format('x')}), ',')" if sql else F.expr(f"array_join(transform({name}, x -> {whole.format('x')}), ',')").alias(name)
+    form = {"": "{}", "f": whole, "t": "epoch_us({})" if sql else "unix_micros(CAST({} AS TIMESTAMP))"}[kind].format(name)
+    return form if sql else F.expr(form).alias(name)
+
+
+def _print_sql(t: str) -> str:
+    row = "concat_ws('|', " + ", ".join(f"coalesce(CAST({_written(c, True)} AS VARCHAR), '~')" for c in PRINTED[t].split()) + ")"
     code = f"('0x' || substr(md5({row}), 1, 13))::BIGINT"
     return f"SELECT '{t}' AS \"table\", count(*) AS rows, CAST(coalesce(bit_xor({code}), 0) AS BIGINT) AS \"xor\", CAST(coalesce(sum({code} % 2147483647), 0) AS BIGINT) AS \"sum\" FROM {t}"
 
 
-@BOOK.add(" UNION ALL ".join(_print_sql(t, c) for t, c in PRINTED.items()))
+def _printed(spark, sf_dir, t: str):
+    return table(spark, sf_dir, t).select(*[_written(c, False) for c in PRINTED[t].split()])
+
+
+@BOOK.add(" UNION ALL ".join(map(_print_sql, PRINTED)))
 def table_fingerprints(spark, sf_dir):
-    """Every table's print over its whole numbers and texts: rows and order-free sums of row hashes. Of vectors only the rows count."""
-    frames = [audit.fingerprint(table(spark, sf_dir, t).select(*(c or (F.lit(1).alias("one"),)))).select(F.lit(t).alias("table"), "*") for t, c in PRINTED.items()]
-    return harmonise.union_diagonal(frames)
+    """Every table's print over all its columns: rows and order-free sums of row hashes."""
+    return harmonise.union_diagonal([audit.fingerprint(_printed(spark, sf_dir, t)).select(F.lit(t).alias("table"), "*") for t in PRINTED])
 
 
-@BOOK.add(_print_sql("supplier", ("s_suppkey", "s_name", "s_nationkey")) + " WHERE s_suppkey % 7 = 3")
+@BOOK.add(_print_sql("supplier"))
 def row_fingerprint(spark, sf_dir):
-    """The print of some rows is that of the same rows in any order and partitioning."""
-    rows = table(spark, sf_dir, "supplier").filter("s_suppkey % 7 = 3").select("s_suppkey", "s_name", "s_nationkey")
-    return audit.fingerprint(rows.repartition(5).orderBy(F.desc("s_name"))).select(F.lit("supplier").alias("table"), "*")
+    """The print of rows is that of the same rows in any order and partitioning."""
+    return audit.fingerprint(_printed(spark, sf_dir, "supplier").repartition(5).orderBy(F.desc("s_name"))).select(F.lit("supplier").alias("table"), "*")
 
 
 @BOOK.add("""WITH b AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1) SELECT CAST(y + 10 AS BIGINT) AS ano, CAST(n AS BIGINT) AS value FROM b WHERE y <> 1997""")

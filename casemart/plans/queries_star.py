@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +30,13 @@ def star_fact(spark, sf_dir):
     return built(spark, sf_dir)["fact"].select(*FACT_COLUMNS)
 
 
-@BOOK.add(STAR + f"SELECT ibge_code, municipio_nome, populacao_censo_2022, {', '.join(COUNTS)}, total_denuncias - total_penal AS total_social, CASE WHEN populacao_censo_2022 > 0 THEN round(total_penal / populacao_censo_2022 * 10000, 2) END AS taxa_penal_10k, CASE WHEN populacao_censo_2022 > 0 THEN round(idosos_total / populacao_censo_2022 * 10000, 2) END AS taxa_idosos_10k FROM mun")
+_RATES_SQL = ", ".join(f"CASE WHEN populacao_censo_2022 > 0 THEN round({c} / populacao_censo_2022 * 10000, 2) END AS {n}" for n, c in star.RATES.items())
+
+
+@BOOK.add(STAR + f"SELECT ibge_code, municipio_nome, populacao_censo_2022, {', '.join(COUNTS)}, total_denuncias - total_penal AS total_social, {_RATES_SQL} FROM mun")
 def star_municipality(spark, sf_dir):
-    return built(spark, sf_dir)["kpi_municipality"].select("ibge_code", "municipio_nome", "populacao_censo_2022", *COUNTS, "total_social", "taxa_penal_10k", "taxa_idosos_10k")
+    """Counts and all sixteen rates."""
+    return built(spark, sf_dir)["kpi_municipality"].select("ibge_code", "municipio_nome", "populacao_censo_2022", *COUNTS, "total_social", *star.RATES)
 
 
 @BOOK.add(STAR + f"SELECT ibge_code, municipio_nome, regiao_intermediaria, ano, semestre, {', '.join(COUNTS)} FROM kp")
@@ -395,6 +401,15 @@ def read_side_aliases(spark, sf_dir):
     return star.read_aliases(older).select(F.col("municipio_nome").alias("municipio"), "total_registros", "total_denuncias")
 
 
+@BOOK.add(STAR + "SELECT regiao_intermediaria, count(*) AS places, CAST(sum(total_denuncias) AS BIGINT) AS total FROM mun GROUP BY 1")
+def saved_tables(spark, sf_dir):
+    """The municipal table is saved in the catalogue, where it replaces the files, and asked in SQL by its name."""
+    name = f"saved_{uuid.uuid4().hex}"
+    files.register(spark, saved=True, **{name: built(spark, sf_dir)["kpi_municipality"]})
+    files.register(spark, **{f"{name}_seen": files.table_or_files(spark, name, "none")})
+    return spark.sql(f"SELECT regiao_intermediaria, count(*) AS places, sum(total_denuncias) AS total FROM {name}_seen GROUP BY 1")
+
+
 @BOOK.add(STAR + "SELECT ibge_code, total_penal FROM mun WHERE total_penal > 0")
 def exported_slice(spark, sf_dir):
     """A slice leaves as CSV with a contract of columns, one of which does not exist, and is read again; a saved view serves where it exists."""

@@ -66,6 +66,11 @@ def _sums() -> dict:
 
 #: Columns that the indicator tables sum besides the two grains.
 SUMS = tuple(f"{g}_{k}" for k in ("total", "penal") for g in config.GROUPS) + ("sem_grupo_total", "sem_grupo_penal")
+#: The rates of the municipal table and what each is of.
+RATES = {
+    "taxa_total_10k": "total_denuncias", "taxa_penal_10k": "total_penal", "taxa_denuncias_unicas_10k": "denuncias_unicas", "taxa_denuncias_maioria_penal_10k": "denuncias_unicas_maioria_penal",
+    **{f"taxa_{g}_10k": f"{g}_total" for g in config.GROUPS}, **{f"taxa_{g}_penal_10k": f"{g}_penal" for g in config.GROUPS},
+}
 #: Names of the two-grain columns in the indicator tables.
 COUNTED = {"records": "total_denuncias", "penal": "total_penal", "complaints": "denuncias_unicas", "complaints_penal": "denuncias_unicas_penal", "complaints_majority": "denuncias_unicas_maioria_penal", "reliable_records": "registros_com_denuncia_identificavel"}
 CATEGORY_KEYS = ["ano", "semestre", "regiao_intermediaria", "categoria_penal", "grau_certeza", "orgao_prioritario", "fundamentacao_legal", "indicio_penal"]
@@ -96,9 +101,7 @@ def municipal(counts: DataFrame, dim: DataFrame) -> DataFrame:
     rows = dim.join(counts, "ibge_code", "left").fillna(0, [c for c in counts.columns if c != "ibge_code"])
     rows = rows.withColumn("total_registros", F.col("total_denuncias")).withColumn("total_social", F.col("total_denuncias") - F.col("total_penal"))
     pop = F.col("populacao_censo_2022")
-    rates = {"taxa_total_10k": "total_denuncias", "taxa_penal_10k": "total_penal", "taxa_denuncias_unicas_10k": "denuncias_unicas", "taxa_denuncias_maioria_penal_10k": "denuncias_unicas_maioria_penal"}
-    rates |= {f"taxa_{g}_10k": f"{g}_total" for g in config.GROUPS} | {f"taxa_{g}_penal_10k": f"{g}_penal" for g in config.GROUPS}
-    return rows.withColumns({n: m.rate(F.col(c), pop) for n, c in rates.items()})
+    return rows.withColumns({n: m.rate(F.col(c), pop) for n, c in RATES.items()})
 
 
 def kpi_period(fact: DataFrame, dim: DataFrame) -> DataFrame:
