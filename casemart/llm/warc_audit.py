@@ -115,27 +115,33 @@ def read_replica(spark: SparkSession, path: str) -> DataFrame:
         F.col("segment").cast("long") if "segment" in raw.columns else F.xxhash64("_metadata.file_name").alias("segment"),
         F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("nth"), "value",
     )
-    order = Window.partitionBy("segment", "file").orderBy("part", "nth")
     # the reader takes the beginning of all records but the first of a file, and the closing line ends of all but the last
-    placed = raw.withColumns({"position": F.row_number().over(order) - 1, "last": F.lead("nth").over(order).isNull()})
-    whole = F.when(F.col("position") > 0, F.concat(F.lit(BEGIN), "value")).otherwise(F.col("value"))
-    parts = placed.withColumn("record", whole).withColumn("cut", F.locate(END, "record"))
-    bytes_ = F.octet_length("record") + F.when(F.col("last"), 0).otherwise(len(END))
-    parts = parts.withColumn("length", bytes_.cast("long"))
-    parts = parts.withColumn("offset", F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    parts = parts.withColumn("closed", ~F.col("last") | F.col("record").endswith(END))
-    parts = parts.withColumn("record", F.when(F.col("last") & F.col("closed"), F.expr(f"substring(record, 1, length(record) - {len(END)})")).otherwise(F.col("record")))
+    parts = raw.withColumn("record", F.when(F.col("value").startswith(BEGIN), F.col("value")).otherwise(F.concat(F.lit(BEGIN), "value")))
+    parts = parts.withColumns({"cut": F.locate(END, "record"), "ends": F.col("record").endswith(END), "short": F.expr(f"substring(record, 1, length(record) - {len(END)})")})
     head = F.substring("record", 1, F.col("cut"))
     block = F.when(F.col("cut") > 0, F.expr(f"substring(record, cut + {len(END)})")).otherwise("")
     named = F.try_to_number(F.nullif(F.regexp_extract(head, r"Content-Length: (\d+)", 1), F.lit("")), F.lit("999999999999")).cast("long")
-    return parts.select(
-        "segment", "file", F.col("position").cast("long").alias("position"), "offset",
+    # what is asked of the texts is asked here, so only marks are put in order; both readings of a record that ends in line ends
+    marks = parts.select(
+        "segment", "file", "part", "nth", "ends", F.octet_length("value").alias("octets"), named.alias("named"), F.octet_length(block).alias("block"),
         F.try_to_number(F.nullif(F.regexp_extract(head, r"WARC-Record-Ordinal: (\d+)", 1), F.lit("")), F.lit("999999999999")).cast("long").alias("ordinal"),
         F.regexp_extract(head, r"WARC-Page-ID: (-?\d+)", 1).try_cast("long").alias("page_id"),
-        "length",
-        F.sha2("record", 256).alias("digest"),
-        F.coalesce((named == F.octet_length(block)) & F.col("closed"), F.lit(False)).alias("intact"),
-        F.when(head.contains("Content-Transfer-Encoding: base64"), F.decode(F.unbase64(block), "utf-8")).otherwise(block).alias("body"),
+        F.sha2("record", 256).alias("digest"), F.when(F.col("ends"), F.sha2("short", 256)).alias("short_digest"),
+        head.contains("Content-Transfer-Encoding: base64").alias("coded"), block.alias("body"), F.when(F.col("ends"), F.expr(f"substring(record, cut + {len(END)}, greatest(0, length(record) - cut - {2 * len(END) - 1}))")).alias("short_body"),
+    )
+    order = Window.partitionBy("segment", "file").orderBy("part", "nth")
+    placed = marks.withColumns({"position": F.row_number().over(order) - 1, "last": F.lead("nth").over(order).isNull()})
+    length = F.col("octets") + F.when(F.col("position") > 0, len(BEGIN)).otherwise(0) + F.when(F.col("last"), 0).otherwise(len(END))
+    placed = placed.withColumn("length", length.cast("long"))
+    placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    short = F.col("last") & F.col("ends")
+    body = F.when(short, F.col("short_body")).otherwise(F.col("body"))
+    own = F.col("block") - F.when(short, len(END)).otherwise(0)
+    return placed.select(
+        "segment", "file", F.col("position").cast("long").alias("position"), "offset", "ordinal", "page_id", "length",
+        F.when(short, F.col("short_digest")).otherwise(F.col("digest")).alias("digest"),
+        F.coalesce((F.col("named") == own) & (~F.col("last") | F.col("ends")), F.lit(False)).alias("intact"),
+        F.when(F.col("coded"), F.decode(F.unbase64(body), "utf-8")).otherwise(body).alias("body"),
     )
 
 
