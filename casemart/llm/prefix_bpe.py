@@ -121,7 +121,7 @@ class PrefixBPE:
             self.bytes_of[i] = bytes(map(as_bytes.__getitem__, t)) if all(c in as_bytes for c in t) else t.encode()
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
 
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = {}  # of the merge of a left and a right token
         halves: dict[int, tuple[int, int]] = {}
         made: dict[int, int] = {}
         for n, pair in enumerate(model["merges"]):
@@ -129,7 +129,7 @@ class PrefixBPE:
             a, b, whole = vocab[left], vocab[right], vocab[left + right]
             if whole in halves or max(made.get(a, -1), made.get(b, -1)) >= n:
                 raise ValueError(f"{path}: a token is made in two ways, or before its halves")
-            self.rank[a, b], halves[whole], made[whole] = n, (a, b), n
+            self.rank[a << 32 | b], halves[whole], made[whole] = n, (a, b), n
         if any(len(t) > 1 and i not in halves for t, i in self.ids.items()) or len([t for t in self.ids if len(t) == 1]) < 256:
             raise ValueError(f"{path}: a token that no merge makes, or a byte without a token")
         # A token's edge: itself, its outer half, that one's outer half, and so on, each with the rank at which it goes into the one before.
@@ -137,7 +137,7 @@ class PrefixBPE:
         self.right_edge = {i: self._edge(i, halves, made, 1) for i in self.ids.values()}
         self.fitting: dict[int, bool] = {}  # by left token and right token
         self.automaton = SuffixAutomaton(self.ids)
-        self.pieces = Remembered(lambda piece: packed(self.encode_piece(piece.encode())))
+        self.pieces = Remembered(lambda piece: packed(self.encode_piece(piece.encode())), 500_000)
 
     @staticmethod
     def _edge(token: int, halves: dict[int, tuple[int, int]], made: dict[int, int], side: int) -> list[tuple[int, int]]:
@@ -155,8 +155,14 @@ class PrefixBPE:
         together: before the left one goes into its next, which comes first
         of equal merges, and not after the right one does.
         """
-        ranks = self.rank
-        known = not any(ranks.get((x, y), NEVER) < till_x and ranks[x, y] <= till_y for x, till_x in self.right_edge[a] for y, till_y in self.left_edge[b])
+        known, rank, left = True, self.rank.get, self.left_edge[b]
+        for x, till_x in self.right_edge[a]:
+            x <<= 32
+            for y, till_y in left:
+                n = rank(x | y)
+                if n is not None and n < till_x and n <= till_y:
+                    known = False
+                    break
         if len(self.fitting) >= 500_000:
             self.fitting.clear()
         self.fitting[a << 32 | b] = known
