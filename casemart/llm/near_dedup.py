@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, spread, stored, table
+from .common import spread, stored, table
 
 SHINGLE = 5
 #: Four fifths; _rarest and _reachable count with it in whole numbers.
@@ -55,10 +55,6 @@ CELLS_A_FACTOR, BLOCK = 32, 4_096
 SLICE = 400_000
 
 
-#: 64-bit hashes of the words met so far.
-WORDS = Remembered(lambda word: xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit changes half of the output's."""
     x = x ^ (x >> np.uint64(30))
@@ -70,10 +66,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str, width: int = SHINGLE) -> np.ndarray:
     """The hashes of a text's word shingles in order. A text of fewer words is one shingle of all of them, none if it has no word."""
-    words = WORD.findall(text)
+    words = text.encode("utf-8", "surrogatepass").split()  # bytes are split at the six characters that WORD leaves out
     if not words:
         return np.empty(0, np.uint64)
-    h = np.array([WORDS[w] for w in words], np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(h) - width + 1)
     out = np.full(n, np.uint64(min(len(h), width)))
     for k in range(min(width, len(h))):
