@@ -1,9 +1,9 @@
-"""What the star schema costs."""
+"""What the star schema costs: rules run once for each distinct case, tables are made when they are asked for."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from casemart.plans import proxy_star, star
+from casemart.plans import proxy_star, registry, star
 from casemart.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +40,23 @@ def test_cases_with_nulls_and_small_blocks(spark, pattern, monkeypatch):
     assert len(whole) == raw.filter(F.upper(F.btrim("uf")) == "SC").count()
     monkeypatch.setattr(star, "BLOCK", 7)
     assert rows() == whole
+
+
+@pytest.mark.parametrize("name", ["access_services", "access_kinds"])
+def test_facilities_need_no_records(spark, monkeypatch, name):
+    monkeypatch.setattr(proxy_star, "_BUILT", {})
+    monkeypatch.setattr(proxy_star, "raw_rows", None)
+    assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["audit_inventory", "missing_fields", "field_spellings"])
+def test_files_are_listed_without_the_fact(spark, monkeypatch, name):
+    monkeypatch.setattr(proxy_star, "_BUILT", {})
+    monkeypatch.setattr(star, "build_fact", None)
+    assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+def test_one_indicator_makes_no_other(spark, monkeypatch):
+    monkeypatch.setattr(proxy_star, "_BUILT", {})
+    monkeypatch.setattr(star, "kpi_municipality", None)
+    assert registry.QUERIES["nature_totals"](spark, SF).count() == 1
