@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from casemart.plans import proxy_star, registry, star
+from casemart import config
+from casemart.plans import proxy_star, registry, slices, star
 from casemart.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +61,32 @@ def test_one_indicator_makes_no_other(spark, monkeypatch):
     monkeypatch.setattr(proxy_star, "_BUILT", {})
     monkeypatch.setattr(star, "kpi_municipality", None)
     assert registry.QUERIES["nature_totals"](spark, SF).count() == 1
+
+
+@pytest.mark.parametrize("name", ["nature_by_year", "nature_high_degree", "nature_totals", "batch_summary", "audit_incomplete_years", "audit_coverage", "published_rows", "slice_focus_of_nature", "slice_of_group"])
+def test_what_shows_no_ids_numbers_no_rows(spark, monkeypatch, name):
+    monkeypatch.setattr(proxy_star, "_BUILT", {})
+    monkeypatch.setattr(star, "numbered", None)
+    assert registry.QUERIES[name](spark, SF).columns
+
+
+def test_records_are_the_fact_without_ids(spark, pattern, tmp_path):
+    dim = proxy_star.dimension(spark, SF)
+    fact, records = star.write_fact(spark, pattern, dim, str(tmp_path)), star.write_records(spark, pattern, dim, str(tmp_path))
+    assert dict(records.dtypes) == {c: t for c, t in fact.dtypes if c != "id_fato"}
+    assert records.count() and sorted(map(tuple, fact.select(*star.SAID).collect()), key=str) == sorted(map(tuple, records.select(*star.SAID).collect()), key=str)
+
+
+def test_a_reliable_id_is_told_by_files_not_by_rows(spark, pattern):
+    plan = plan_of(star.build_records(files.read_period_files(spark, pattern), proxy_star.dimension(spark, SF)))
+    assert "id_column" not in plan and "Window" not in plan
+
+
+def test_parts_of_a_report_wait_for_no_other(spark, monkeypatch):
+    monkeypatch.setattr(slices.agg, "spread", None)
+    monkeypatch.setattr(slices.agg, "pivot_top", None)
+    fact = spark.createDataFrame([], "ano int, semestre long, id_denuncia string, grain_denuncia_confiavel long, indicio_penal long, ibge_code string, sem_grupo long, " + ", ".join(f"{f} long" for f in config.GROUPS.values()))
+    report = slices.audit_report(fact, fact.select("ibge_code"))
+    assert report["incomplete_years"].count() == 0 and set(report) == {"coverage", "incomplete_years", "spread", "reconciliation", "overlap"}
+    nature = slices.penal_nature(spark.createDataFrame([], "indicio_penal long, registros long, grau_certeza string, categoria_penal string, orgao_prioritario string, fundamentacao_legal string, ano int"), slices.Filters())
+    assert nature["totals"].count() == 1
