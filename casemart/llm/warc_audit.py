@@ -89,17 +89,38 @@ def write_replica(pages: DataFrame, path: str, body: Column | None = None, keep:
     empty table gives no segment; further columns are not read. `date` is the
     capture's time (ISO 8601), DATE where there is none.
     """
+    _segment_files(_records(pages, [(None, body, keep)], segments, date), path, ["segment"])
+
+
+def write_replicas(pages: DataFrame, path: str, replicas: dict[str, tuple[Column | None, Column | None]], segments: int | None = None, date: Column | None = None) -> dict[str, str]:
+    """Writes a replica for each name, with its own `body` and `keep` as in write_replica, and returns their paths. The pages are dealt out and put in order once for all of them."""
+    _segment_files(_records(pages, [(name, body, keep) for name, (body, keep) in replicas.items()], segments, date), path, ["replica", "segment"])
+    paths = {name: f"{path}/replica={name}" for name in replicas}
+    for own in paths.values():  # one without records is an empty folder
+        folder = pages.sparkSession._jvm.org.apache.hadoop.fs.Path(own)
+        folder.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration()).mkdirs(folder)
+    return paths
+
+
+def _records(pages: DataFrame, replicas: list[tuple[str | None, Column | None, Column | None]], segments: int | None, date: Column | None) -> DataFrame:
+    """replica, segment, ordinal, value: the records of each replica."""
     url, html = F.coalesce(F.col("url"), F.lit("")), F.coalesce(F.col("html"), F.lit(""))
     segments = segments or segments_of(pages)
     in_segment = Window.partitionBy("segment").orderBy("page_id", "url", "html")
     when = F.coalesce(date, F.lit(DATE)) if date is not None else F.lit(DATE)
     rows = pages.select("page_id", url.alias("url"), html.alias("html"), when.alias("date"), segment_of(F.col("page_id"), url, html, segments).alias("segment"))
     rows = rows.withColumn("ordinal", F.row_number().over(in_segment) - 1)
-    if keep is not None:
-        rows = rows.filter(keep)
-    text = record_text(F.col("page_id"), F.col("url"), F.col("segment"), F.col("ordinal"), F.col("html") if body is None else body, F.col("date"))
-    written = rows.select("segment", text.alias("value"), "ordinal").sortWithinPartitions("segment", "ordinal")
-    written.select("segment", "value").write.partitionBy("segment").option("lineSep", END).option("compression", "gzip").text(path)
+
+    def record(name: str | None, body: Column | None, keep: Column | None) -> Column:
+        text = record_text(F.col("page_id"), F.col("url"), F.col("segment"), F.col("ordinal"), F.col("html") if body is None else F.coalesce(body, F.lit("")), F.col("date"))
+        return F.struct(F.lit(name).cast("string").alias("replica"), F.when(F.lit(True) if keep is None else keep, text).alias("value"))
+
+    return rows.select("segment", "ordinal", F.inline(F.array(*[record(*r) for r in replicas]))).filter(F.col("value").isNotNull())
+
+
+def _segment_files(records: DataFrame, path: str, folders: list[str]) -> None:
+    written = records.sortWithinPartitions(*folders, "ordinal")
+    written.select(*folders, "value").write.partitionBy(*folders).option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def read_replica(spark: SparkSession, path: str) -> DataFrame:
@@ -237,12 +258,9 @@ def audit(spark: SparkSession, path_a: str, path_b: str) -> DataFrame:
 def op6_warc_audit(spark, sf_dir: str) -> DataFrame:
     """A drill on all pages: a second replica loses pages whose id leaves 7 modulo 193 and damages those that leave 5 modulo 97; the audit has to find them."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    path_a, path_b = scratch(spark, "warc-a"), scratch(spark, "warc-b")
-    segments = segments_of(pages)
-    write_replica(pages, path_a, segments=segments)
     damaged = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
-    write_replica(pages, path_b, body=damaged, keep=F.coalesce(F.col("page_id") % 193 != 7, F.lit(True)), segments=segments)
-    return audit(spark, path_a, path_b)
+    paths = write_replicas(pages, scratch(spark, "warc"), {"a": (None, None), "b": (damaged, F.coalesce(F.col("page_id") % 193 != 7, F.lit(True)))})
+    return audit(spark, paths["a"], paths["b"])
 
 
 OP6_SQL = rf"""

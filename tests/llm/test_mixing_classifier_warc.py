@@ -229,3 +229,20 @@ def test_audit_of_nothing(spark):
     a = scratch(spark, "test-warc")
     warc_audit.write_replica(none, a)
     assert warc_audit.audit(spark, a, a).count() == 0
+
+
+def test_warc_replicas_from_one_order_are_those_written_alone(spark):
+    """The drill's replicas are dealt out and sorted once, and hold what two runs of write_replica hold, empty ones too."""
+    pages = spark.createDataFrame([(k if k % 9 else None, f"u{k % 5}", f"page {k} " * (k % 40)) for k in range(400)], "page_id long, url string, html string").repartition(5)
+    body, keep = F.when(F.col("page_id") == 123, "other").otherwise(F.col("html")), F.coalesce(~F.col("page_id").isin(7, 200), F.lit(True))
+    a, b = scratch(spark, "test-warc"), scratch(spark, "test-warc")
+    warc_audit.write_replica(pages, a, segments=3)
+    warc_audit.write_replica(pages, b, segments=3, body=body, keep=keep)
+    plans = warc_audit._records(pages, [("a", None, None), ("b", body, keep)], 3, None)._jdf.queryExecution().executedPlan().toString()
+    assert plans.count("hashpartitioning(segment") == 1
+    paths = warc_audit.write_replicas(pages, scratch(spark, "test-warc"), {"a": (None, None), "b": (body, keep)}, segments=3)
+    for alone, path in ((a, paths["a"]), (b, paths["b"])):
+        told = [sorted(map(str, warc_audit.read_replica(spark, p).drop("file").collect())) for p in (alone, path)]
+        assert told[0] == told[1] and len(told[0]) > 390
+    none = warc_audit.write_replicas(pages.limit(0), scratch(spark, "test-warc"), {"a": (None, None), "b": (body, keep)})
+    assert warc_audit.audit(spark, none["a"], none["b"]).count() == 0
