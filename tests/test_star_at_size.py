@@ -90,3 +90,35 @@ def test_parts_of_a_report_wait_for_no_other(spark, monkeypatch):
     assert report["incomplete_years"].count() == 0 and set(report) == {"coverage", "incomplete_years", "spread", "reconciliation", "overlap"}
     nature = slices.penal_nature(spark.createDataFrame([], "indicio_penal long, registros long, grau_certeza string, categoria_penal string, orgao_prioritario string, fundamentacao_legal string, ano int"), slices.Filters())
     assert nature["totals"].count() == 1
+
+
+@pytest.mark.parametrize("name", ["nature_totals", "audit_incomplete_years", "audit_coverage", "published_rows"])
+def test_files_that_nobody_numbers_are_in_no_order(spark, monkeypatch, name):
+    """Neither sampled for ranges nor sorted by their rows' keys; what the fact reads still is."""
+    monkeypatch.setattr(proxy_star, "_BUILT", {})
+    sorted_by, by_range = [], type(spark.range(0)).repartitionByRange
+    monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", lambda df, *keys: sorted_by.append(keys) or by_range(df, *keys))
+    assert registry.QUERIES[name](spark, SF).columns
+    assert not sorted_by
+    assert registry.QUERIES["star_fact"](spark, SF).columns and len(sorted_by) == len(proxy_star.ERAS)
+
+
+def test_counts_of_records_tell_no_complaints_apart(spark, monkeypatch):
+    monkeypatch.setattr(proxy_star, "_BUILT", {})
+    monkeypatch.setattr(star, "write_records", None)
+    monkeypatch.setattr(star.agg, "first_grain", None)
+    got = registry.QUERIES["nature_totals"](spark, SF).first()
+    monkeypatch.undo()
+    assert tuple(got) == tuple(slices.penal_nature(proxy_star.built(spark, SF)["kpi_category"], slices.Filters(years=(2007, 2009, 2010), regions=("ASIA", "AMERICA", "OUTRA")))["totals"].first()) and got.registros > 0
+
+
+def test_incomplete_years_read_no_verdict(spark, monkeypatch):
+    monkeypatch.setattr(proxy_star, "_BUILT", {})
+    monkeypatch.setattr(star, "verdicts", None)
+    assert [tuple(r) for r in registry.QUERIES["audit_incomplete_years"](spark, SF).collect()] == [(2011, 1, True)]
+
+
+def test_unordered_files_hold_the_same_rows(spark, pattern, tmp_path):
+    columns = ("arquivo_origem", "ano", "semestre", "id_column", *sorted(config.ALIASES))
+    ordered, unordered = (files.read_period_files(spark, p).select(*columns) for p in (pattern, proxy_star.write_unordered(spark, SF, str(tmp_path))))
+    assert ordered.count() == unordered.count() > 0 and not ordered.exceptAll(unordered).count()
