@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import stored
 from .harmonise import quoted
 
+#: Buckets whose sums tell where rows differ: so many rows at most leave a task before it is known, and so many numbers are sent to all tasks.
+BUCKETS = 1 << 20
+
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row that says the same for the same rows in any order: rows, and two sums of 52 bits of the rows' MD5, which other engines have too."""
@@ -31,13 +35,47 @@ def signed_rows(source: DataFrame, copy: DataFrame) -> DataFrame:
     )
 
 
-def differing(source: DataFrame, copy: DataFrame) -> DataFrame:
-    """The rows themselves that one side has more often: side, times, and all columns. Only asked for when a validation has failed."""
-    odd = signed_rows(source, copy).filter("_surplus <> 0").select("_row", "_surplus")
+def _bucketed(df: DataFrame) -> DataFrame:
+    """`df` with two independent numbers of each row's values, as they are written, and a bucket by either."""
+    text = [quoted(c).cast("string") for c in df.columns]
+    # a null leaves such a number as it is, so which values are null is a value too
+    nulls = F.concat(F.lit(""), *[quoted(c).isNull().cast("int").cast("string") for c in df.columns])
+    return df.withColumns({"_one": F.xxhash64(*text, nulls), "_two": F.xxhash64(F.lit(1), *text, nulls)}).withColumns({f"_bucket{n}": F.col(n).bitwiseAND(F.lit(BUCKETS - 1)) for n in ("_one", "_two")})
+
+
+def bucket_sums(source: DataFrame, copy: DataFrame) -> DataFrame:
+    """bucket, its rows on either side, and whether it holds the same rows on both: by sums of 96 bits of the rows' numbers. Each side is read once, tasks hand on sums alone."""
+    sides = [_bucketed(df).select(F.col("_bucket_one").alias("bucket"), "_one", "_two", F.lit(sign).alias("_sign")) for df, sign in ((source, 1), (copy, -1))]
+    high, low = (lambda c: F.shiftrightunsigned(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
+    sums = {"a": high("_one"), "b": low("_two"), "c": high("_two")}
+    per = sides[0].unionByName(sides[1]).groupBy("bucket").agg(F.count_if(F.col("_sign") > 0).alias("in_source"), F.count_if(F.col("_sign") < 0).alias("in_copy"), *[F.sum(v * F.col("_sign")).alias(n) for n, v in sums.items()])
+    return per.select("bucket", "in_source", "in_copy", F.expr("in_source = in_copy and a = 0 and b = 0 and c = 0").alias("same"))
+
+
+def _print(columns: list[str]) -> Column:
+    """The MD5 of a row over all its values."""
+    return F.unhex(F.md5(F.to_json(F.struct(*[quoted(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)]))))
+
+
+def surplus(source: DataFrame, copy: DataFrame, sums: DataFrame) -> DataFrame:
+    """_row, _surplus, _bucket_one, _bucket_two of the rows that one side has more often (over 0: the source); only rows of buckets that differ leave their tasks."""
+    odd = F.broadcast(sums.filter("not same").select(F.col("bucket").alias("_bucket_one")))
+    keys = ["_row", "_bucket_one", "_bucket_two"]
+    sides = [_bucketed(df).join(odd, "_bucket_one", "left_semi").select(_print(df.columns).alias("_row"), *keys[1:], F.lit(sign).alias("_sign")) for df, sign in ((source, 1), (copy, -1))]
+    return sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.sum("_sign").alias("_surplus")).filter("_surplus <> 0")
+
+
+def differing(source: DataFrame, copy: DataFrame, odd: DataFrame | None = None) -> DataFrame:
+    """The rows themselves that one side has more often: side, times, and all columns. Only asked for when a validation has failed, whose `surplus` may be given."""
+    if odd is None:
+        odd = stored(surplus(source, copy, stored(bucket_sums(source, copy), "audit-buckets")), "audit-surplus")
     frames = []
     for side, df, sign in (("source", source, 1), ("copy", copy, -1)):
-        text = F.to_json(F.struct(*[quoted(c).cast("string").alias(f"c{i}") for i, c in enumerate(df.columns)]))
-        rows = df.withColumn("_print", F.md5(text)).dropDuplicates(["_print"]).join(odd.filter(F.col("_surplus") * sign > 0), F.col("_print") == F.col("_row"))
+        mine, rows = odd.filter(F.col("_surplus") * sign > 0), _bucketed(df)
+        # few rows have both of their buckets among those of rows that differ
+        for bucket in ("_bucket_one", "_bucket_two"):
+            rows = rows.join(F.broadcast(mine.select(bucket).distinct()), bucket, "left_semi")
+        rows = rows.select(_print(df.columns).alias("_print"), *map(quoted, df.columns)).dropDuplicates(["_print"]).join(mine, F.col("_print") == F.col("_row"))
         frames.append(rows.select(F.lit(side).alias("side"), (F.col("_surplus") * sign).alias("times"), *map(quoted, df.columns)))
     return frames[0].unionByName(frames[1])
 
@@ -45,26 +83,40 @@ def differing(source: DataFrame, copy: DataFrame) -> DataFrame:
 def validate_copy(source: DataFrame, copy: DataFrame) -> DataFrame:
     """check, passed, detail: names and order of columns, number of rows, rows that only one side has, and, where rows differ, each column by its values in any order.
 
-    Every row is compared, none sampled, in one pass over each side: rows are
-    summed by their print, +1 for the source and -1 for the copy, and what does
-    not cancel differs; values are compared by the sum of their numbers in the
-    rows left. Raise on a failed check with `require`, and see `differing` for
-    the rows.
+    Every row is compared, none sampled: see `compare`, which also has the rows
+    that differ. Raise on a failed check with `require`.
+    """
+    return compare(source, copy)[0]
+
+
+def compare(source: DataFrame, copy: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The report of `validate_copy`, and the `surplus` if rows differ.
+
+    One pass over each side sums the rows by bucket, +1 for the source and -1
+    for the copy; where all sums cancel no row differs. Otherwise rows of the
+    buckets left are summed by their print, and values of each column by their
+    numbers, over all rows: what both sides have cancels.
     """
     spark = source.sparkSession
+    schema = "check string, passed boolean, detail string"
     checks = [("columns", source.columns == copy.columns, str([c for c in source.columns if c not in copy.columns]))]
     if source.columns != copy.columns:
         n, m = source.count(), copy.count()
-        return spark.createDataFrame([*checks, ("rows", n == m, f"{n} and {m}")], "check string, passed boolean, detail string")
-    surplus = F.col("_surplus")
-    columns = [F.coalesce(F.sum(F.col(f"_h{i}").cast("decimal(20,0)") * surplus), F.lit(0)).alias(f"c{i}") for i in range(len(source.columns))]
-    s = signed_rows(source, copy).agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in (("n", F.col("_in_source")), ("m", F.col("_in_copy")), ("more", F.greatest(surplus, F.lit(0))), ("less", F.greatest(-surplus, F.lit(0))))], *columns
-    ).first()
-    checks += [("rows", s.n == s.m, f"{s.n} and {s.m}"), ("content", not (s.more or s.less), f"{s.more} only in the source, {s.less} only in the copy")]
-    if s.more or s.less:
-        checks += [(f"column {c}", not s[f"c{i}"], "") for i, c in enumerate(source.columns)]
-    return spark.createDataFrame(checks, "check string, passed boolean, detail string")
+        return spark.createDataFrame([*checks, ("rows", n == m, f"{n} and {m}")], schema), None
+    zero, odd = F.lit(0), None
+    sums = stored(bucket_sums(source, copy), "audit-buckets")
+    s = sums.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("in_source", "in_copy")], F.count_if(~F.col("same")).alias("odd")).first()
+    more = less = 0
+    if s.odd:
+        odd = stored(surplus(source, copy, sums), "audit-surplus")
+        more, less = odd.agg(*[F.coalesce(F.sum(F.greatest(F.col("_surplus") * sign, zero)), zero) for sign in (1, -1)]).first()
+    checks += [("rows", s.in_source == s.in_copy, f"{s.in_source} and {s.in_copy}"), ("content", not (more or less), f"{more} only in the source, {less} only in the copy")]
+    if more or less:
+        numbers = [df.select(*[(F.xxhash64(quoted(c).cast("string")).cast("decimal(20,0)") * sign).alias(f"c{i}") for i, c in enumerate(df.columns)]) for df, sign in ((source, 1), (copy, -1))]
+        both = numbers[0].unionByName(numbers[1])
+        left = both.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in both.columns]).first()
+        checks += [(f"column {c}", not left[f"c{i}"], "") for i, c in enumerate(source.columns)]
+    return spark.createDataFrame(checks, schema), odd
 
 
 def require(report: DataFrame) -> None:

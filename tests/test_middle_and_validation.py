@@ -3,6 +3,7 @@ import statistics
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from casemart.operators import aggregate, audit, middle
 
@@ -68,3 +69,30 @@ def test_each_side_is_read_once(spark, tmp_path):
     spark.range(20).write.parquet(f"{tmp_path}/b")
     plan = audit.signed_rows(spark.read.parquet(f"{tmp_path}/a"), spark.read.parquet(f"{tmp_path}/b"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 2
+
+
+def test_rows_that_do_not_differ_stay_in_their_tasks(spark, tmp_path, monkeypatch):
+    """What the tasks hand on: sums by bucket, then rows of the buckets and rows that differ, and no others."""
+
+    def handed_on():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    monkeypatch.setattr(audit, "BUCKETS", 1 << 12, raising=False)
+    spark.range(200_000).selectExpr("id", "concat('v', id) AS v", "id % 7 AS seven").write.parquet(f"{tmp_path}/a")
+    a = spark.read.parquet(f"{tmp_path}/a")
+    b = a.withColumn("v", F.when(F.expr("id % 50000 = 3"), "other").otherwise(F.col("v")))
+    before = handed_on()
+    assert failed(a, b) == {"content", "column v"}
+    found = {(r.side, r.times, r.id, r.v) for r in audit.differing(a, b).collect()}
+    assert found == {(side, 1, i, f"v{i}" if side == "source" else "other") for i in range(3, 200_000, 50_000) for side in ("source", "copy")}
+    assert handed_on() - before < 3_000_000
+
+
+def test_buckets_tell_counts_nulls_and_places_of_values(spark):
+    def same(a, b):
+        return audit.bucket_sums(*(spark.createDataFrame(x, "k string, v string") for x in (a, b))).filter("not same").isEmpty()
+
+    assert same([("a", None), ("b", "c")], [("b", "c"), ("a", None)])
+    for other in ([(None, "a"), ("b", "c")], [("a", None), ("c", "b")], [("a", ""), ("b", "c")], [("a", None), ("b", "c"), ("b", "c")], [("a", None), ("a", None)], [("a", None), ("bc", "")], []):
+        assert not same([("a", None), ("b", "c")], other)
